@@ -6,8 +6,12 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .byte_bpe import encode_documents
+from .chat import format_conversations, read_back
+from .licenses import scan_licenses, scan_sql
+from .quality_rules import quality_rules
 from .simhash import near_duplicates
 from .token_counts import token_counts
 
@@ -28,13 +32,53 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), radius=3, size=3)
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"), threshold=0.9)
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    verdicts, _ = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return verdicts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    back = read_back(format_conversations(turns).select("conv_id", "formatted", "mask"))
+    joined = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["content"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.encode(joined, "utf-8"), 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2(F.encode("loss_text", "utf-8"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_licenses": op2_licenses,
+        "op3_quality_rules": op3_quality_rules,
         "op4_token_counts": op4_token_counts,
         "op5_byte_bpe": op5_byte_bpe,
         "op6_simhash": op6_simhash,
+        "op10_chat": op10_chat,
     }
 
 
+#: The conversations of op10 in DuckDB, formatted relationally: turns in order, the template's lengths added up.
+_CHAT_SQL = """
+    WITH t AS (
+      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'),
+    c AS (
+      SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+        string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, text) AS loss,
+        sum(4 + length(role) + length(regexp_replace(role, '[^\\\\<#:\\n]', '', 'g')) + 2 + length(text) + length(regexp_replace(text, '[^\\\\<#]', '', 'g')) + 8) AS n FROM t GROUP BY conv_id)
+    SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, n::BIGINT AS formatted_chars FROM c"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_licenses": scan_sql(), "op10_chat": _CHAT_SQL}
