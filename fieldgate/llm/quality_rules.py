@@ -116,13 +116,14 @@ def learn(labelled: DataFrame, max_rules: int = 8, max_conditions: int = 3, leas
     Sequential covering: on two thirds of the rows (by the hash of their features) a conjunction of threshold conditions grows
     by FOIL gain; on the other third its last conditions are pruned while (p - n) / (p + n) does not fall; rows it covers go, and
     the next rule starts. A rule whose precision on the pruning rows is below ``least_precision`` ends the list. Thresholds are
-    ``cuts`` quantiles of each feature, over the good rows and over the bad. Only histograms of bounded size reach the driver.
+    midway between neighbours among ``cuts`` quantiles of each feature, over the good rows and over the bad. Only histograms of bounded size reach the driver.
     """
     steps = [i / (cuts + 1) for i in range(1, cuts + 1)] + [0.995]
     found = labelled.groupBy("bad").agg(*(F.percentile_approx(n, steps, 2000).alias(n) for n in FEATURES)).collect()
     if {r["bad"] for r in found} != {0, 1}:
         return []
-    thresholds = [sorted({float(x) for r in found for x in r[n]}) for n in FEATURES]
+    seen = [sorted({float(x) for r in found for x in r[n]}) for n in FEATURES]
+    thresholds = [[(a + b) / 2 for a, b in zip(v, v[1:], strict=False)] for v in seen]
     fold = F.pmod(F.xxhash64(*FEATURES), F.lit(3))
     rest, rules = labelled.withColumn("fold", fold), []
     for _ in range(max_rules):

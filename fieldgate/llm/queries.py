@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .byte_bpe import encode_documents
 from .chat import format_conversations, read_back
+from .context_tree import lm_scores
 from .licenses import scan_licenses, scan_sql
 from .quality_rules import quality_rules
 from .simhash import near_duplicates
@@ -41,6 +42,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"), remainder=2, modulus=7)
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
@@ -64,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_token_counts": op4_token_counts,
         "op5_byte_bpe": op5_byte_bpe,
         "op6_simhash": op6_simhash,
+        "op7_lm_scores": op7_lm_scores,
         "op10_chat": op10_chat,
     }
 
