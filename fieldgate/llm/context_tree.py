@@ -14,35 +14,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, slices, utf8
+from .grams import CachedScorer, GramCounts, byte_grams, in_parts, look_up, mask, shard_of, shard_scores
 
 #: Context bytes.
-DEPTH = 4
+DEPTH = 5
 #: Nodes that one broadcast holds (12 bytes each); a larger model is scored in as many passes as it has such shards.
-SHARD_NODES = 6_000_000
+SHARD_NODES = 4_000_000
 #: Words whose counts are broadcast, the most frequent ones; all others are joined.
 HOT_WORDS = 200_000
-END = b"\n"
 
 
 def tokens_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def grams_of(texts: list[list[bytes]], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte of each document (words with single spaces, then END) the byte below its ``depth`` predecessors, as one number; and
-    where documents start. Before a document stand ENDs."""
-    rows = [END * depth + b" ".join(words) + END for words in texts]
-    sizes = np.array([len(r) for r in rows])
-    flat = np.frombuffer(b"".join(rows), dtype=np.uint8)
-    out = np.zeros(len(flat) - depth, dtype=np.int64)
-    for k in range(depth + 1):
-        out |= flat[k : len(flat) - depth + k].astype(np.int64) << (8 * (depth - k))
-    ends = np.cumsum(sizes)
-    keep = np.ones(len(flat), dtype=bool)
-    for k in range(depth):
-        keep[ends - sizes + k] = False
-    out = out[keep[depth:]]
-    return out, np.concatenate([[0], np.cumsum(sizes - depth)[:-1]])
+def event(words: list[bytes]) -> bytes:
+    """The words as the bytes that the model predicts; an END follows."""
+    return b" ".join(words)
 
 
 def counts(docs: DataFrame, depth: int) -> DataFrame:
@@ -50,23 +38,14 @@ def counts(docs: DataFrame, depth: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            keys = np.concatenate([k for k, _ in held])
-            order = np.argsort(keys, kind="stable")
-            keys, n = keys[order], np.concatenate([n for _, n in held])[order]
-            at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            return keys[at], np.add.reduceat(n, at)
+        grams = GramCounts()
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for keys, n in ((pa.array(list(words), pa.binary()), np.fromiter(words.values(), dtype=np.int64, count=len(words))), merged() if held else (np.zeros(0, np.int64), np.zeros(0, np.int64))):
-                own = isinstance(keys, np.ndarray)
-                for at in range(0, len(keys), 50_000):
-                    part, many = keys[at : at + 50_000], n[at : at + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.nulls(len(part), pa.binary()) if own else part, pa.array(part) if own else pa.nulls(len(part), pa.int64()), pa.array(many)], ["word", "gram", "n"])
+            n = len(words)
+            yield from in_parts({"word": pa.array(list(words), pa.binary()), "gram": pa.nulls(n, pa.int64()), "n": pa.array(list(words.values()), pa.int64())})
             words.clear()
-            held.clear()
+            keys, many = grams.take()
+            yield from in_parts({"word": pa.nulls(len(keys), pa.binary()), "gram": pa.array(keys), "n": pa.array(many)})
 
         for whole in batches:
             for batch in slices(whole, "text"):
@@ -74,10 +53,8 @@ def counts(docs: DataFrame, depth: int) -> DataFrame:
                 for t in texts:
                     words.update(t)
                 words[b""] += len(texts)
-                held.append(np.unique(grams_of(texts, depth)[0], return_counts=True))
-                if len(held) >= 8:
-                    held[:] = [merged()]
-                if len(words) > 400_000 or sum(len(k) for k, _ in held) > 4_000_000:
+                grams.add(byte_grams([event(t) for t in texts], depth)[0])
+                if len(words) > 400_000 or len(grams) > 4_000_000:
                     yield from flush()
         yield from flush()
 
@@ -99,10 +76,6 @@ def log_kt(a: Column, b: Column) -> Column:
     return log_gamma(a + 0.5) + log_gamma(b + 0.5) - log_gamma(a + b + 1.0) - F.lit(log(np.pi))
 
 
-def mask(depth: int) -> int:
-    return (1 << (8 * depth)) - 1
-
-
 def model(grams: DataFrame, depth: int) -> DataFrame:
     """d, ctx, prefix, q of every node: the mixed probability of a one bit where this node is the deepest known of its path.
 
@@ -147,49 +120,29 @@ def node_key(d: int, ctx: np.ndarray, prefix: np.ndarray) -> np.ndarray:
     return np.int64(d << 56) | ctx << 8 | prefix
 
 
-class Scorer:
-    """ln q of grams from sorted node keys; what was looked up is kept in a direct-mapped cache."""
-
-    BITS = 20
+class Scorer(CachedScorer):
+    """ln of each gram's probability from sorted node keys."""
 
     def __init__(self, keys: np.ndarray, q: np.ndarray, depth: int):
+        super().__init__()
         self.keys, self.q, self.depth = keys, q, depth
-        self.gram = np.full(1 << self.BITS, -1, dtype=np.int64)
-        self.value = np.zeros(1 << self.BITS)
 
     def slow(self, grams: np.ndarray) -> np.ndarray:
-        """For sorted distinct grams: each bit from the deepest node that the training texts have."""
+        """Each bit from the deepest node of its path that the training texts have."""
         byte, out = grams & 255, np.zeros(len(grams))
         for j in range(8):
             prefix = (1 << j) | byte >> (8 - j)
             p = np.full(len(grams), 0.5)
             open_ = np.arange(len(grams))
             for d in range(self.depth, -1, -1):
-                key = node_key(d, grams[open_] >> 8 & mask(d), prefix[open_])
-                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                hit = self.keys[at] == key
-                p[open_[hit]] = self.q[at[hit]]
+                q, hit = look_up(self.keys, self.q, node_key(d, grams[open_] >> 8 & mask(d), prefix[open_]))
+                p[open_[hit]] = q[hit]
                 open_ = open_[~hit]
                 if not len(open_):
                     break
             out += np.log(np.where(byte >> (7 - j) & 1, p, 1 - p))
         return out
 
-    def score(self, grams: np.ndarray) -> np.ndarray:
-        slot = ((grams.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)).astype(np.int64)
-        out = self.value[slot]
-        if len(miss := np.flatnonzero(self.gram[slot] != grams)):
-            new, back = np.unique(grams[miss], return_inverse=True)
-            values = self.slow(new)
-            out[miss] = values[back]
-            self.gram[slot[miss]] = grams[miss]
-            self.value[slot[miss]] = out[miss]
-        return out
-
-
-def shard_of(last_two: Column, shards: int) -> Column:
-    return F.pmod(last_two * F.lit(40503), F.lit(shards))
-
 
 def lm_scores(docs: DataFrame, remainder: int = 2, modulus: int = 7, depth: int = DEPTH, shard_nodes: int = SHARD_NODES, hot_words: int = HOT_WORDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_code_bytes, bits_per_byte per row of ``docs`` (doc_id, text).
@@ -229,7 +182,7 @@ def lm_scores(docs: DataFrame, remainder: int = 2, modulus: int = 7, depth: int
     size = total["n"] + total["v"] + 1
     scored = None
     for shard in range(shards):
-        part = nodes if shards == 1 else nodes.where((F.col("d") < 2) | (shard_of(F.col("ctx").bitwiseAND(F.lit(65535)), shards) == shard))
+        part = nodes if shards == 1 else nodes.where((F.col("d") < 2) | (shard_of(F.col("ctx"), shards) == shard))
         got = part.select((F.col("d").cast("long") * F.lit(1 << 56) + F.shiftleft("ctx", 8) + F.col("prefix")).alias("key"), "q").sort("key").toArrow()
         table = context.broadcast((got.column("key").to_numpy(), got.column("q").to_numpy()))
         one = materialize(_scored(rows, table, hot, depth, shard, shards, size), "scored")
@@ -263,13 +216,8 @@ def _scored(rows: DataFrame, table, hot, depth: int, shard: int, shards: int, si
         for whole in batches:
             for batch in slices(whole, "text"):
                 texts = [tokens_of(t) for t in utf8(batch.column("text"))]
-                grams, starts = grams_of(texts, depth)
-                if shards == 1:
-                    logs = scorer.score(grams)
-                else:
-                    logs = np.zeros(len(grams))
-                    mine = np.flatnonzero((grams >> 8 & 65535) * 40503 % shards == shard)
-                    logs[mine] = scorer.score(grams[mine])
+                grams, starts = byte_grams([event(t) for t in texts], depth)
+                logs = shard_scores(scorer, grams, shard, shards)
                 score = np.add.reduceat(logs, starts) / np.log(10)
                 cells: list[list] = [[], [], [], []]
                 for t in texts:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .byte_bpe import encode_documents
 from .chat import format_conversations, read_back
 from .context_tree import lm_scores
+from .decontaminate import find_contamination
 from .licenses import scan_licenses, scan_sql
 from .quality_rules import quality_rules
 from .simhash import near_duplicates
@@ -46,6 +47,10 @@ def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"), remainder=2, modulus=7)
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), threshold=0.8, shingle=5)
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
@@ -70,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_byte_bpe": op5_byte_bpe,
         "op6_simhash": op6_simhash,
         "op7_lm_scores": op7_lm_scores,
+        "op9_decontamination": op9_decontamination,
         "op10_chat": op10_chat,
     }
 
