@@ -12,6 +12,7 @@ from .byte_bpe import encode_documents
 from .chat import format_conversations, read_back
 from .context_tree import lm_scores
 from .decontaminate import find_contamination
+from .kneser_ney import classify
 from .licenses import scan_licenses, scan_sql
 from .quality_rules import quality_rules
 from .simhash import near_duplicates
@@ -47,6 +48,10 @@ def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"), remainder=2, modulus=7)
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), threshold=0.8, shingle=5)
 
@@ -75,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_byte_bpe": op5_byte_bpe,
         "op6_simhash": op6_simhash,
         "op7_lm_scores": op7_lm_scores,
+        "op8_quality_classifier": op8_quality_classifier,
         "op9_decontamination": op9_decontamination,
         "op10_chat": op10_chat,
     }
