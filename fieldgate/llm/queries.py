@@ -14,6 +14,7 @@ from .context_tree import lm_scores
 from .decontaminate import find_contamination
 from .kneser_ney import classify
 from .licenses import scan_licenses, scan_sql
+from .line_dedup import line_components
 from .quality_rules import quality_rules
 from .simhash import near_duplicates
 from .token_counts import token_counts
@@ -35,6 +36,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), radius=3, size=3)
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_components(table(spark, sf_dir, "documents")).drop("t")
+
+
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"), threshold=0.9)
 
@@ -74,6 +79,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_line_dedup": op1_line_dedup,
         "op2_licenses": op2_licenses,
         "op3_quality_rules": op3_quality_rules,
         "op4_token_counts": op4_token_counts,
