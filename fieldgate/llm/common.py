@@ -129,6 +129,23 @@ def forest(adjacent: np.ndarray, firsts: np.ndarray | None = None) -> tuple[np.n
     return np.asarray(left, dtype=np.int64), np.asarray(right, dtype=np.int64)
 
 
+#: What identifies a row of documents where two tables meet: doc_id (and whether it is null) and a hash of the text.
+ROW = ["_d", "_z", "_t"]
+
+
+def text_hash(docs: DataFrame):
+    return F.xxhash64(docs["text"])
+
+
+def with_row(df: DataFrame, t) -> DataFrame:
+    return df.withColumn("_d", F.coalesce(df["doc_id"].cast("long"), F.lit(0))).withColumn("_z", df["doc_id"].isNull()).withColumn("_t", t)
+
+
+def only_rows(docs: DataFrame, found: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows of ``docs`` that ``found`` (doc_id, t) names, or with left_anti those that it doesn't."""
+    return with_row(docs, text_hash(docs)).join(with_row(found, F.col("t")).select(*ROW).distinct(), ROW, how).select(*docs.columns)
+
+
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, root) for every node of undirected ``edges`` (a, b): root is the smallest node of its connected component.
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, utf8
+from .common import only_rows, slices, text_hash, utf8
 from .simhash import ball, segments_of
 
 SHINGLE = 5
@@ -149,7 +149,7 @@ class Benchmark:
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, radius: int = RADIUS, parts: int = PARTS, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """doc_id, item_id, similarity, first_word, n_words, distance: the best window of each text of ``docs`` (doc_id, text) for each item of
+    """doc_id, item_id, similarity, first_word, n_words, distance and t (a hash of the text): the best window of each text of ``docs`` (doc_id, text) for each item of
     ``benchmark`` (item_id, text) that it holds.
 
     Words are runs outside of white space, A-Z lower-cased. A window is as long as the item (or the whole text, if that is shorter), at every
@@ -163,7 +163,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, threshold: float =
     context = docs.sparkSession.sparkContext
     items = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), benchmark["text"].cast("binary").alias("text")).where("text is not null").distinct()
     blocks = max(1, -(-items.count() // block_items))
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), text_hash(docs).alias("t"))
     out = None
     for block in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(blocks)) == block)
@@ -195,8 +195,13 @@ def _search(rows: DataFrame, own, threshold: float, shingle: int, radius: int, p
                         start = int(ends[k]) - len(texts[k])
                         met.setdefault(k, {})[size] = hashes[start : int(ends[k]) - size + 1], at[doc == k] - start
                 found = [(k, *x) for k in sorted(met) for x in ((bench.items[i][0], *v) for i, v in sorted(bench.search(flat[int(ends[k]) - len(texts[k]) : int(ends[k])], threshold, met[k]).items()))]
-                ids = batch.column("doc_id").take(pa.array([f[0] for f in found], pa.int64()))
+                at = pa.array([f[0] for f in found], pa.int64())
                 kinds = [("item_id", pa.int64()), ("similarity", pa.float64()), ("first_word", pa.int64()), ("n_words", pa.int64()), ("distance", pa.int64())]
-                yield pa.RecordBatch.from_arrays([ids, *(pa.array([f[i + 1] for f in found], t) for i, (_, t) in enumerate(kinds))], ["doc_id", *(n for n, _ in kinds)])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), *(pa.array([f[i + 1] for f in found], t) for i, (_, t) in enumerate(kinds)), batch.column("t").take(at)], ["doc_id", *(n for n, _ in kinds), "t"])
 
-    return rows.mapInArrow(run, "doc_id long, item_id long, similarity double, first_word long, n_words long, distance long")
+    return rows.mapInArrow(run, "doc_id long, item_id long, similarity double, first_word long, n_words long, distance long, t long")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs``, with all their columns, in which :func:`find_contamination` finds no item."""
+    return only_rows(docs, find_contamination(docs, benchmark, **options).select("doc_id", "t"), "left_anti")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import bucket_links, spanning
-from .common import components, materialize, slices, utf8
+from .common import ROW, components, materialize, slices, text_hash, utf8, with_row
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -119,7 +119,7 @@ def line_table(docs: DataFrame, bands: int, rows: int, shingle: int) -> DataFram
                 yield pa.RecordBatch.from_arrays([pa.array(at + rid), ids.take(pa.array(at)), batch.column("t").take(pa.array(at)), pa.array(number, pa.int32()), pa.array(hashes, pa.int64()), lists], ["rid", "doc_id", "t", "line_no", "h", "keys"])
                 rid += batch.num_rows
 
-    read = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), F.xxhash64(docs["text"]).alias("t"))
+    read = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), text_hash(docs).alias("t"))
     return read.mapInArrow(run, "rid long, doc_id long, t long, line_no int, h long, keys array<long>")
 
 
@@ -222,12 +222,11 @@ def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     text become one, whose lines are those that any of them keeps. n_chars, where there is one, is counted again.
     """
     found = materialize(line_components(docs, **options), "line_components")
-    by = ["_d", "_z", "_t"]
-    own = lambda df, t: df.withColumn("_d", F.coalesce(df["doc_id"].cast("long"), F.lit(0))).withColumn("_z", df["doc_id"].isNull()).withColumn("_t", t)
-    lines = own(found, F.col("t")).groupBy(*by, "line_no").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    by = ROW
+    lines = with_row(found, F.col("t")).groupBy(*by, "line_no").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
     gone = lines.groupBy(*by).agg(F.max("n").alias("_n"), F.collect_list(F.when(~F.col("kept"), F.col("line_no"))).alias("_gone"))
     gone = materialize(gone.where((F.size("_gone") > 0) | (F.col("_n") > 1)), "gone")
-    rows = own(docs, F.xxhash64(docs["text"]))
+    rows = with_row(docs, text_hash(docs))
     if gone.where("_n > 1").limit(1).count():
         rows = rows.dropDuplicates(by)
     rows = rows.join(gone.drop("_n"), by, "left")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import bucket_links, spanning
-from .common import components, materialize, slices, utf8
+from .common import ROW, components, materialize, only_rows, slices, text_hash, utf8, with_row
 
 SEED = 42
 #: For each byte a word of eight byte counters that holds its bits: 255 of them add up without overflow.
@@ -37,7 +37,7 @@ def shingles(words: list[bytes], size: int) -> list[bytes]:
 
 
 def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
-    """doc_id, fp (long) per row of ``docs`` (doc_id, text): the SimHash of ``size``-word shingles of the lower-cased (A-Z) text.
+    """doc_id, t (a hash of the text), fp (long) per row of ``docs`` (doc_id, text): the SimHash of ``size``-word shingles of the lower-cased (A-Z) text.
 
     Null and empty texts have fingerprint zero. Memory is that of some megabytes of text, or of the longest text.
     """
@@ -47,9 +47,9 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
         for whole in batches:
             for batch in slices(whole, "text"):
                 prints = [fingerprint_of(np.array([digest(s, SEED) for s in shingles(t.lower().split(), size)], dtype=np.uint64)) for t in utf8(batch.column("text"))]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(prints, dtype=np.uint64).view(np.int64))], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), pa.array(np.array(prints, dtype=np.uint64).view(np.int64))], ["doc_id", "t", "fp"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"], text_hash(docs).alias("t")).mapInArrow(run, "doc_id long, t long, fp long")
 
 
 def segments_of(parts: int) -> list[tuple[int, int]]:
@@ -104,20 +104,37 @@ def hamming_links(prints: DataFrame, radius: int = 3, parts: int = 2) -> DataFra
     return bucket_links(rows, ["k", "v"], verify)
 
 
+def fingerprint_roots(docs: DataFrame, radius: int, size: int, parts: int) -> tuple[DataFrame, DataFrame]:
+    """(fingerprints of the rows, fp and root of each fingerprint): equal fingerprints are one node, so groups of copies cost one row."""
+    prints = materialize(fingerprints(docs, size), "fingerprints")
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    roots = components(hamming_links(distinct.select("fp"), radius, parts)).withColumnRenamed("node", "fp")
+    return prints, distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = 3, size: int = 3, parts: int = 2) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id per row of ``docs`` (doc_id, text).
 
-    Fingerprints within ``radius`` bits link; component_id is the smallest doc_id that links reach. Equal fingerprints
-    are one node, so groups of copies cost one row; then :func:`hamming_links` and distributed union-find.
+    Fingerprints within ``radius`` bits link; component_id is the smallest doc_id that links reach, found by
+    :func:`hamming_links` and distributed union-find.
 
     Null and empty texts have fingerprint zero and link like any other. Rows that repeat a doc_id give a row each. A null
     doc_id is kept, and is never a component_id unless the component has no other. Other columns are ignored; an empty
     table gives an empty table.
     """
-    prints = materialize(fingerprints(docs, size), "fingerprints")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(hamming_links(distinct.select("fp"), radius, parts)).withColumnRenamed("node", "fp")
-    linked = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    prints, linked = fingerprint_roots(docs, radius, size, parts)
     smallest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     known = linked.join(smallest, "root").select("fp", "component_id")
     return prints.join(known, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, radius: int = 3, size: int = 3, parts: int = 2) -> DataFrame:
+    """``docs``, with all their columns, but of each component of :func:`near_duplicates` only one row: the one with the smallest doc_id (null last),
+    among rows that repeat it any one text."""
+    prints, linked = fingerprint_roots(docs, radius, size, parts)
+    rows = prints.join(linked.select("fp", "root"), "fp")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("t").alias("t")))
+    chosen = materialize(rows.groupBy("root").agg(best.alias("b")).select(F.col("b.d").alias("doc_id"), F.col("b.t").alias("t")), "chosen")
+    kept = only_rows(docs, chosen)
+    twice = with_row(prints, F.col("t")).groupBy(*ROW).count().where("count > 1").limit(1).count()
+    return with_row(kept, text_hash(kept)).dropDuplicates(ROW).select(*docs.columns) if twice else kept
