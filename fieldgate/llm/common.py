@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,11 +47,11 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about ``most`` bytes of text, so that a worker's memory does not follow the batch."""
-    lengths = [len(x) for x in utf8(batch.column(column))]
+    lengths = pc.binary_length(batch.column(column).cast(pa.binary())).fill_null(0)
     start, size = 0, 0
-    for i, n in enumerate(lengths):
+    for i, n in enumerate(lengths.to_pylist()):
         if size and size + n > most:
             yield batch.slice(start, i - start)
             start, size = i, 0

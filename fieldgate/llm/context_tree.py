@@ -14,12 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, slices, utf8
-from .grams import CachedScorer, GramCounts, byte_grams, in_parts, look_up, mask, shard_of, shard_scores
+from .grams import END, CachedScorer, GramCounts, by_bucket, byte_grams, in_parts, look_up, mask, shard_of, shard_scores
 
 #: Context bytes.
 DEPTH = 5
 #: Nodes that one broadcast holds (12 bytes each); a larger model is scored in as many passes as it has such shards.
 SHARD_NODES = 4_000_000
+#: Documents for each bucket that counts are packed in.
+DOCS_A_BUCKET = 2_000
 #: Words whose counts are broadcast, the most frequent ones; all others are joined.
 HOT_WORDS = 200_000
 
@@ -33,19 +35,31 @@ def event(words: list[bytes]) -> bytes:
     return b" ".join(words)
 
 
-def counts(docs: DataFrame, depth: int) -> DataFrame:
-    """word, gram, n: how often ``docs`` (text) have each token (a gram's row has null word; END is the empty word) and each gram."""
+def packed_counts(docs: DataFrame, depth: int, buckets: int) -> DataFrame:
+    """bucket, words, grams, n: what a task counted, packed by bucket: words (separated by END, which no word has; the empty word stands for the
+    end of a text) or grams (8 bytes each), with as many 8-byte counts. A count costs its bytes and no row of the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
         grams = GramCounts()
 
         def flush() -> Iterator[pa.RecordBatch]:
-            n = len(words)
-            yield from in_parts({"word": pa.array(list(words), pa.binary()), "gram": pa.nulls(n, pa.int64()), "n": pa.array(list(words.values()), pa.int64())})
+            out: list[list] = [[], [], [], []]
+            own, many = list(words), np.fromiter(words.values(), dtype=np.int64, count=len(words))
+            order, at = by_bucket(np.array([zlib.crc32(w) % buckets for w in own], dtype=np.int64))
+            for a, b in zip(at, at[1:], strict=False):
+                part = order[a:b]
+                for cell, x in zip(out, (zlib.crc32(own[part[0]]) % buckets, END.join([own[i] for i in part]), None, many[part].tobytes()), strict=True):
+                    cell.append(x)
             words.clear()
             keys, many = grams.take()
-            yield from in_parts({"word": pa.nulls(len(keys), pa.binary()), "gram": pa.array(keys), "n": pa.array(many)})
+            place = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64) % buckets
+            order, at = by_bucket(place)
+            for a, b in zip(at, at[1:], strict=False):
+                part = order[a:b]
+                for cell, x in zip(out, (place[part[0]], None, keys[part].tobytes(), many[part].tobytes()), strict=True):
+                    cell.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(pa.array(c, pa.binary()) for c in out[1:])], ["bucket", "words", "grams", "n"])
 
         for whole in batches:
             for batch in slices(whole, "text"):
@@ -54,11 +68,41 @@ def counts(docs: DataFrame, depth: int) -> DataFrame:
                     words.update(t)
                 words[b""] += len(texts)
                 grams.add(byte_grams([event(t) for t in texts], depth)[0])
-                if len(words) > 400_000 or len(grams) > 4_000_000:
+                if len(words) > 200_000 or len(grams) > 1_500_000:
                     yield from flush()
         yield from flush()
 
-    return docs.select("text").mapInArrow(run, "word binary, gram long, n long").groupBy("word", "gram").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(run, "bucket long, words binary, grams binary, n binary")
+
+
+def counts(docs: DataFrame, depth: int) -> DataFrame:
+    """word, gram, n: how often ``docs`` (text) have each token (a gram's row has null word; the end is the empty word) and each gram."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, words, grams = None, Counter(), GramCounts()
+
+        def summed() -> Iterator[pa.RecordBatch]:
+            n = len(words)
+            yield from in_parts({"word": pa.array(list(words), pa.binary()), "gram": pa.nulls(n, pa.int64()), "n": pa.array(list(words.values()), pa.int64())})
+            words.clear()
+            keys, many = grams.take()
+            yield from in_parts({"word": pa.nulls(len(keys), pa.binary()), "gram": pa.array(keys), "n": pa.array(many)})
+
+        for batch in batches:
+            for bucket, w, g, n in zip(*(batch.column(c).to_pylist() for c in ("bucket", "words", "grams", "n")), strict=True):
+                if bucket != at and at is not None:
+                    yield from summed()
+                at, many = bucket, np.frombuffer(n, dtype=np.int64)
+                if g is None:
+                    for word, k in zip(w.split(END), many.tolist(), strict=True):
+                        words[word] += k
+                else:
+                    grams.held.append((np.frombuffer(g, dtype=np.int64), many))
+        yield from summed()
+
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(256, docs.count() // DOCS_A_BUCKET)
+    return packed_counts(docs, depth, buckets).repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "word binary, gram long, n long")
 
 
 def log_gamma(x: Column) -> Column:
@@ -81,7 +125,8 @@ def model(grams: DataFrame, depth: int) -> DataFrame:
 
     A node is a context of d bytes and the bits of the next byte so far (with a leading one). Bottom-up, a node's weighted probability
     is half its KT probability and half the product of its longer contexts'; these give the weights that mix the KT
-    estimates of all depths top-down. ``grams``: gram, n.
+    estimates of all depths top-down. A node with all of its parent's counts mixes to the parent's q and is left out: the parent is then
+    the deepest known, with the same result. ``grams``: gram, n.
     """
     levels: list[DataFrame] = []
     above: DataFrame | None = None
@@ -90,7 +135,7 @@ def model(grams: DataFrame, depth: int) -> DataFrame:
         bits = cell.select(F.shiftright("g", 8).alias("ctx"), F.col("g").bitwiseAND(F.lit(255)).cast("int").alias("byte"), "n", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("j"))
         bits = bits.select("ctx", F.expr("shiftleft(1, j) | shiftright(byte, 8 - j)").alias("prefix"), F.expr("shiftright(byte, 7 - j) & 1").alias("bit"), "n")
         node = bits.groupBy("ctx", "prefix").agg(F.sum(F.when(F.col("bit") == 0, F.col("n")).otherwise(0)).cast("double").alias("a"), F.sum(F.when(F.col("bit") == 1, F.col("n")).otherwise(0)).cast("double").alias("b"))
-        node = node.withColumn("le", log_kt(F.col("a"), F.col("b"))).withColumn("kt", (F.col("b") + 0.5) / (F.col("a") + F.col("b") + 1))
+        node = node.withColumn("le", log_kt(F.col("a"), F.col("b"))).withColumn("kt", (F.col("b") + 0.5) / (F.col("a") + F.col("b") + 1)).withColumn("m", F.col("a") + F.col("b"))
         if above is None:
             node = node.withColumn("lw", F.col("le"))
         else:
@@ -98,20 +143,20 @@ def model(grams: DataFrame, depth: int) -> DataFrame:
             node = node.join(longer, ["ctx", "prefix"])
             # ln(e^x / 2 + e^y / 2)
             node = node.withColumn("lw", F.greatest("le", "lc") + F.log1p(F.exp(-F.abs(F.col("le") - F.col("lc")))) - F.lit(log(2))).drop("lc")
-        above = materialize(node.select("ctx", "prefix", "le", "kt", "lw"), f"level{d}")
+        above = materialize(node.select("ctx", "prefix", "le", "kt", "lw", "m"), f"level{d}")
         levels.append(above)
     out, over = None, None
     for d, level in zip(range(depth + 1), reversed(levels), strict=True):
         weight = F.exp(F.col("le") - F.lit(log(2)) - F.col("lw")) if d < depth else F.lit(1.0)
         if over is None:
-            now = level.withColumn("s0", F.lit(0.0)).withColumn("r0", F.lit(1.0))
+            now = level.withColumn("s0", F.lit(0.0)).withColumn("r0", F.lit(1.0)).withColumn("m0", F.lit(0.0))
         else:
             now = level.withColumn("up", F.col("ctx").bitwiseAND(F.lit(mask(d - 1)))).join(over, ["up", "prefix"])
-        now = now.select("ctx", "prefix", (F.col("s0") + F.col("r0") * F.col("kt")).alias("q"), (F.col("s0") + F.col("r0") * weight * F.col("kt")).alias("s"), (F.col("r0") * (1 - weight)).alias("r"))
+        now = now.select("ctx", "prefix", "m", (F.col("m") != F.col("m0")).alias("own"), (F.col("s0") + F.col("r0") * F.col("kt")).alias("q"), (F.col("s0") + F.col("r0") * weight * F.col("kt")).alias("s"), (F.col("r0") * (1 - weight)).alias("r"))
         if d < depth:
             now = materialize(now, f"mixed{d}")
-            over = now.select(F.col("ctx").alias("up"), "prefix", F.col("s").alias("s0"), F.col("r").alias("r0"))
-        row = now.select(F.lit(d).alias("d"), "ctx", "prefix", F.col("q").cast("float").alias("q"))
+            over = now.select(F.col("ctx").alias("up"), "prefix", F.col("s").alias("s0"), F.col("r").alias("r0"), F.col("m").alias("m0"))
+        row = now.where("own").select(F.lit(d).alias("d"), "ctx", "prefix", F.col("q").cast("float").alias("q"))
         out = row if out is None else out.unionAll(row)
     return out
 
@@ -121,13 +166,21 @@ def node_key(d: int, ctx: np.ndarray, prefix: np.ndarray) -> np.ndarray:
 
 
 class Scorer(CachedScorer):
-    """ln of each gram's probability from sorted node keys."""
+    """ln of each gram's probability from sorted node keys; those of the training texts' own grams may be given ready."""
 
-    def __init__(self, keys: np.ndarray, q: np.ndarray, depth: int):
+    def __init__(self, keys: np.ndarray, q: np.ndarray, depth: int, grams: np.ndarray | None = None, logs: np.ndarray | None = None):
         super().__init__()
-        self.keys, self.q, self.depth = keys, q, depth
+        self.keys, self.q, self.depth, self.known, self.logs = keys, q, depth, grams, logs
 
     def slow(self, grams: np.ndarray) -> np.ndarray:
+        if self.known is None or not len(self.known):
+            return self.by_nodes(grams)
+        out, hit = look_up(self.known, self.logs, grams)
+        if len(new := np.flatnonzero(~hit)):
+            out[new] = self.by_nodes(grams[new])
+        return out
+
+    def by_nodes(self, grams: np.ndarray) -> np.ndarray:
         """Each bit from the deepest node of its path that the training texts have."""
         byte, out = grams & 255, np.zeros(len(grams))
         for j in range(8):
@@ -165,7 +218,8 @@ def lm_scores(docs: DataFrame, remainder: int = 2, modulus: int = 7, depth: int
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), held.alias("held_out"))
     learned = materialize(counts(rows.where(~F.col("held_out")), depth), "counts")
     words = learned.where("word is not null").select("word", "n")
-    nodes = materialize(model(learned.where("word is null").select("gram", "n"), depth), "nodes")
+    grams = learned.where("word is null").select("gram", "n")
+    nodes = materialize(model(grams, depth), "nodes")
 
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     least = 0
@@ -176,15 +230,22 @@ def lm_scores(docs: DataFrame, remainder: int = 2, modulus: int = 7, depth: int
             least = 2 ** (k + 1)
             break
         kept += many[k]
-    hot = context.broadcast({bytes(r["word"]): float(np.log10(r["n"] + 1)) for r in words.where(F.col("n") >= least).collect()})
+    frequent = words.where(F.col("n") >= least).toArrow()
+    hot = context.broadcast((END.join(frequent.column("word").to_pylist()) if len(frequent) else None, np.log10(frequent.column("n").to_numpy() + 1.0)))
 
-    shards = max(1, -(-nodes.count() // shard_nodes))
+    shards = max(1, -(-max(nodes.count(), grams.count()) // shard_nodes))
     size = total["n"] + total["v"] + 1
     scored = None
     for shard in range(shards):
-        part = nodes if shards == 1 else nodes.where((F.col("d") < 2) | (shard_of(F.col("ctx"), shards) == shard))
+        part, own = nodes, grams
+        if shards > 1:
+            part = nodes.where((F.col("d") < 2) | (shard_of(F.col("ctx"), shards) == shard))
+            own = grams.where(shard_of(F.shiftright("gram", 8), shards) == shard)
         got = part.select((F.col("d").cast("long") * F.lit(1 << 56) + F.shiftleft("ctx", 8) + F.col("prefix")).alias("key"), "q").sort("key").toArrow()
-        table = context.broadcast((got.column("key").to_numpy(), got.column("q").to_numpy()))
+        tree = context.broadcast((got.column("key").to_numpy(), got.column("q").to_numpy()))
+        ready = _ready(own.select("gram"), tree, depth).sort("gram").toArrow()
+        table = context.broadcast((*tree.value, depth, ready.column("gram").to_numpy(), ready.column("log").to_numpy()))
+        tree.unpersist()
         one = materialize(_scored(rows, table, hot, depth, shard, shards, size), "scored")
         if scored is None:
             scored = one
@@ -206,11 +267,23 @@ def lm_scores(docs: DataFrame, remainder: int = 2, modulus: int = 7, depth: int
     )
 
 
+def _ready(grams: DataFrame, tree, depth: int) -> DataFrame:
+    """gram, log of the training texts' grams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(*tree.value, depth)
+        for batch in batches:
+            own = np.sort(batch.column("gram").to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(scorer.by_nodes(own).astype(np.float32))], ["gram", "log"])
+
+    return grams.mapInArrow(run, "gram long, log float")
+
+
 def _scored(rows: DataFrame, table, hot, depth: int, shard: int, shards: int, size: int) -> DataFrame:
     """A pass over the texts with a shard of the model; the first also has the base score of hot words, and the cold words with their frequencies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, known = Scorer(*table.value, depth), hot.value
+        scorer, known = Scorer(*table.value), {} if hot.value[0] is None else dict(zip(hot.value[0].split(END), hot.value[1].tolist(), strict=True))
         rid = TaskContext.get().partitionId() << 33
         cold_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
         for whole in batches:
@@ -225,13 +298,11 @@ def _scored(rows: DataFrame, table, hot, depth: int, shard: int, shards: int, si
                     if not shard:
                         frequency = Counter(t)
                         frequency[b""] = 1
-                        for w, m in frequency.items():
-                            c = known.get(w)
-                            if c is None:
-                                cold.append((w, m))
-                            else:
-                                base += m * c
-                                found += m
+                        many = list(frequency.values())
+                        logs10 = list(map(known.get, frequency))
+                        cold = [(w, m) for w, m, c in zip(frequency, many, logs10, strict=True) if c is None]
+                        found = n - sum(m for _, m in cold)
+                        base = sum(m * c for m, c in zip(many, logs10, strict=True) if c is not None)
                     for cell, x in zip(cells, (n, found, base - n * np.log10(size), cold), strict=True):
                         cell.append(x)
                 flat = [x for c in cells[3] for x in c]

@@ -40,7 +40,7 @@ class GramCounts:
 
     def add(self, grams: np.ndarray) -> None:
         self.held.append(np.unique(grams, return_counts=True))
-        if len(self.held) >= 8:
+        if len(self.held) >= 4:
             self.held = [self.merged()]
 
     def merged(self) -> tuple[np.ndarray, np.ndarray]:
@@ -61,6 +61,14 @@ class GramCounts:
         return out
 
 
+def by_bucket(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings equal buckets together, and where each starts in it (with the end)."""
+    order = np.argsort(bucket, kind="stable")
+    own = bucket[order]
+    at = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
+    return order, np.append(at, len(own))
+
+
 def in_parts(columns: dict[str, pa.Array], most: int = 50_000) -> Iterator[pa.RecordBatch]:
     batch = pa.RecordBatch.from_pydict(columns)
     for at in range(0, batch.num_rows, most):
@@ -74,14 +82,14 @@ class CachedScorer:
 
     def __init__(self):
         self.gram = np.full(1 << self.BITS, -1, dtype=np.int64)
-        self.value = np.zeros(1 << self.BITS)
+        self.value = np.zeros(1 << self.BITS, dtype=np.float32)
 
     def slow(self, grams: np.ndarray) -> np.ndarray:
         raise NotImplementedError
 
     def score(self, grams: np.ndarray) -> np.ndarray:
         slot = ((grams.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)).astype(np.int64)
-        out = self.value[slot]
+        out = self.value[slot].astype(np.float64)
         if len(miss := np.flatnonzero(self.gram[slot] != grams)):
             new, back = np.unique(grams[miss], return_inverse=True)
             out[miss] = self.slow(new)[back]

@@ -18,19 +18,31 @@ SHINGLE = 5
 THRESHOLD = 0.8
 #: Bands and rows: a pair at Jaccard 0.8 shares a band with probability 0.996, one at 0.85 with 0.9998, one at 0.1 with 0.00002.
 BANDS, ROWS = 18, 6
+#: Documents for each bucket of bands: about 15 MB of packed pairs.
+DOCS_A_BUCKET = 5_000
 #: Slots of the bitmap that picks candidate lines when texts are read again: at most this many numbers reach the driver.
 BITMAP = 1 << 22
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
+_LOWER = bytes(32 if b in b"\t\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
+
+
 def normal(line: bytes) -> bytes:
     """A-Z lower-cased, runs of white space as one space, none at the ends."""
-    return b" ".join(line.lower().split())
+    return b" ".join(line.translate(_LOWER).split())
 
 
 def lines_of(text: bytes) -> list[tuple[int, bytes]]:
-    """(number, normal form) of the \\n-split lines that have a word."""
-    return [(i, x) for i, x in enumerate(map(normal, text.split(b"\n"))) if x]
+    """(number, normal form) of the \\n-split lines that have a word: whole texts are translated at once, lines seldom need more than a strip."""
+    out = []
+    for i, x in enumerate(text.translate(_LOWER).split(b"\n")):
+        x = x.strip(b" ")
+        if b"  " in x:
+            x = b" ".join(x.split())
+        if x:
+            out.append((i, x))
+    return out
 
 
 def line_hash(line: bytes) -> int:
@@ -91,60 +103,111 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return h.view(np.int64)
 
 
-def line_table(docs: DataFrame, bands: int, rows: int, shingle: int) -> DataFrame:
-    """rid, doc_id, t (a hash of the text), line_no, h, keys of every line with a word; keys (the bands') are null for a line that the same task had just before."""
+def band_pairs(docs: DataFrame, bands: int, rows: int, shingle: int, buckets: int) -> DataFrame:
+    """bucket, pairs: (key, h) of every band of every line, as packed 16-byte pairs by a bucket of the key.
+
+    A task sends each bucket one binary value now and then, so that a pair costs 16 bytes of shuffle and no row.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rid = TaskContext.get().partitionId() << 33
         seen: set[int] = set()
+        held: list[np.ndarray] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if not held:
+                return
+            pairs = np.concatenate(held)
+            held.clear()
+            bucket = (pairs[:, 0].view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            pairs, bucket = pairs[order], bucket[order]
+            at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            offsets = np.append(at, len(pairs)).astype(np.int64) * 16
+            blob = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(pairs))])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[at]), blob.cast(pa.binary())], ["bucket", "pairs"])
+
         for whole in batches:
             for batch in slices(whole, "text"):
                 if len(seen) > 1_000_000:
                     seen.clear()
-                ids, doc, number, hashes, first, new = batch.column("doc_id"), [], [], [], [], []
-                for k, text in enumerate(utf8(batch.column("text"))):
-                    for i, line in lines_of(text):
+                new = {}
+                for text in utf8(batch.column("text")):
+                    for _, line in lines_of(text):
                         h = line_hash(line)
-                        doc.append(k)
-                        number.append(i)
-                        hashes.append(h)
-                        first.append(h not in seen)
-                        if first[-1]:
+                        if h not in seen:
                             seen.add(h)
-                            new.append(line)
-                keys = band_keys(signatures(*shingle_hashes(new, shingle), bands * rows), bands, rows).ravel() if new else np.zeros(0, np.int64)
-                offsets = np.concatenate([[0], np.cumsum(np.array(first, dtype=np.int64) * bands)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys), mask=pa.array(~np.array(first, dtype=bool)))
-                at = np.array(doc, dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(at + rid), ids.take(pa.array(at)), batch.column("t").take(pa.array(at)), pa.array(number, pa.int32()), pa.array(hashes, pa.int64()), lists], ["rid", "doc_id", "t", "line_no", "h", "keys"])
-                rid += batch.num_rows
+                            new[h] = line
+                if new:
+                    keys = band_keys(signatures(*shingle_hashes(list(new.values()), shingle), bands * rows), bands, rows)
+                    held.append(np.stack([keys.ravel(), np.repeat(np.fromiter(new, dtype=np.int64), bands)], axis=1))
+                if sum(map(len, held)) > 2_000_000:
+                    yield from flush()
+        yield from flush()
+
+    return docs.select("text").mapInArrow(run, "bucket long, pairs binary")
 
-    read = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), text_hash(docs).alias("t"))
-    return read.mapInArrow(run, "rid long, doc_id long, t long, line_no int, h long, keys array<long>")
 
+def shared_bands(packed: DataFrame) -> DataFrame:
+    """key, h of the bands that two lines or more share. A task takes a bucket at a time; buckets are many enough to be small."""
 
-def lines_with(docs: DataFrame, wanted: np.ndarray, bitmap: int) -> DataFrame:
-    """h, line (normal form) of the lines whose hash is in the slots ``wanted``: all wanted lines, and some others."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def met() -> pa.RecordBatch:
+            pairs = np.concatenate(held)
+            pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+            same = (pairs[1:] == pairs[:-1]).all(axis=1)
+            pairs = pairs[np.concatenate([[True], ~same])]
+            like = pairs[1:, 0] == pairs[:-1, 0]
+            pairs = pairs[np.concatenate([[False], like]) | np.concatenate([like, [False]])]
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["key", "h"])
+
+        for batch in batches:
+            for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("pairs").to_pylist(), strict=True):
+                if bucket != at and held:
+                    yield met()
+                    held = []
+                at = bucket
+                held.append(np.frombuffer(blob, dtype=np.int64).reshape(-1, 2))
+        if held:
+            yield met()
+
+    n = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return packed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "key long, h long")
+
+
+def line_table(docs: DataFrame, wanted: np.ndarray, bitmap: int) -> DataFrame:
+    """rid, doc_id, t (a hash of the text), line_no, h of every line with a word, and its normal form, where its hash is in the slots ``wanted`` and
+    the task hasn't given it before: all wanted lines, and some others."""
     table = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = np.zeros(bitmap, dtype=bool)
         slots[table.value] = True
+        rid = TaskContext.get().partitionId() << 33
         seen: set[int] = set()
         for whole in batches:
             for batch in slices(whole, "text"):
                 if len(seen) > 1_000_000:
                     seen.clear()
-                found = {}
-                for text in utf8(batch.column("text")):
-                    for _, line in lines_of(text):
+                doc, number, hashes, given = [], [], [], []
+                for k, text in enumerate(utf8(batch.column("text"))):
+                    for i, line in lines_of(text):
                         h = line_hash(line)
-                        if h not in seen and slots[h & (bitmap - 1)]:
+                        doc.append(k)
+                        number.append(i)
+                        hashes.append(h)
+                        fresh = slots[h & (bitmap - 1)] and h not in seen
+                        given.append(line if fresh else None)
+                        if fresh:
                             seen.add(h)
-                            found[h] = line
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["h", "line"])
+                at = pa.array(doc, pa.int64())
+                columns = [pa.array(np.array(doc, dtype=np.int64) + rid), batch.column("doc_id").take(at), batch.column("t").take(at), pa.array(number, pa.int32()), pa.array(hashes, pa.int64()), pa.array(given, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["rid", "doc_id", "t", "line_no", "h", "line"])
+                rid += batch.num_rows
 
-    return docs.select("text").mapInArrow(run, "h long, line binary")
+    read = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), text_hash(docs).alias("t"))
+    return read.mapInArrow(run, "rid long, doc_id long, t long, line_no int, h long, line binary")
 
 
 def jaccard_links(table: pa.Table, borders: np.ndarray, threshold: float, shingle: int) -> np.ndarray:
@@ -197,18 +260,18 @@ def line_components(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
     Null, empty and blank texts have no lines. Lines shorter than a shingle are one shingle. Repeated rows have their lines twice, one of
     them kept. Other columns are ignored; an empty table gives an empty table.
     """
-    lines = materialize(line_table(docs, bands, rows, shingle), "lines")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    members = lines.where("keys is not null").select(F.explode("keys").alias("key"), "h").repartition(n, "key").dropDuplicates(["key", "h"])
-    several = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi"), F.bit_xor("h").alias("x")).where("n > 1")
-    once = several.groupBy("n", "lo", "hi", "x").agg(F.min("key").alias("key")).select("key")
-    candidates = materialize(members.join(once, "key", "left_semi"), "candidates")
+    buckets = max(512, docs.count() // DOCS_A_BUCKET)
+    shared = materialize(shared_bands(band_pairs(docs, bands, rows, shingle, buckets)), "shared")
+    sets = shared.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi"), F.bit_xor("h").alias("x"))
+    once = sets.groupBy("n", "lo", "hi", "x").agg(F.min("key").alias("key")).select("key")
+    candidates = materialize(shared.join(once, "key", "left_semi"), "candidates")
     wanted = candidates.select(F.col("h").bitwiseAND(F.lit(bitmap - 1)).cast("int").alias("b")).distinct().toArrow().column("b").to_numpy()
-    texts = lines_with(docs, wanted, bitmap).join(candidates.select("h").distinct(), "h", "left_semi").dropDuplicates(["h"])
+    lines = materialize(line_table(docs, wanted, bitmap), "lines")
+    texts = lines.where("line is not null").select("h", "line").join(candidates.select("h").distinct(), "h", "left_semi").dropDuplicates(["h"])
     bucket = candidates.join(texts, "h").select("key", F.col("h").alias("node"), "line")
     links = bucket_links(bucket, ["key"], lambda t, b: jaccard_links(t, b, threshold, shingle), block=256)
     roots = components(links)
-    known = lines.drop("keys").join(roots.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
+    known = lines.drop("line").join(roots.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
     place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), "rid", "line_no")
     first = known.groupBy("root").agg(F.min(place).alias("first"))
     kept = (F.col("rid") == F.col("first.rid")) & (F.col("line_no") == F.col("first.line_no"))
