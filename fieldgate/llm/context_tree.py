@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, utf8
+from .common import materialize, releasing, slices, utf8
 from .grams import END, CachedScorer, GramCounts, by_bucket, byte_grams, in_parts, look_up, mask, shard_of, shard_scores
 
 #: Context bytes.
@@ -23,7 +23,7 @@ SHARD_NODES = 4_000_000
 #: Documents for each bucket that counts are packed in.
 DOCS_A_BUCKET = 2_000
 #: Words whose counts are broadcast, the most frequent ones; all others are joined.
-HOT_WORDS = 200_000
+HOT_WORDS = 100_000
 
 
 def tokens_of(text: bytes) -> list[bytes]:
@@ -72,7 +72,7 @@ def packed_counts(docs: DataFrame, depth: int, buckets: int) -> DataFrame:
                     yield from flush()
         yield from flush()
 
-    return docs.select("text").mapInArrow(run, "bucket long, words binary, grams binary, n binary")
+    return docs.select("text").mapInArrow(lambda b: releasing(run(b)), "bucket long, words binary, grams binary, n binary")
 
 
 def counts(docs: DataFrame, depth: int) -> DataFrame:
@@ -102,7 +102,7 @@ def counts(docs: DataFrame, depth: int) -> DataFrame:
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(256, docs.count() // DOCS_A_BUCKET)
-    return packed_counts(docs, depth, buckets).repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "word binary, gram long, n long")
+    return packed_counts(docs, depth, buckets).repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda b: releasing(run(b)), "word binary, gram long, n long")
 
 
 def log_gamma(x: Column) -> Column:
@@ -319,7 +319,7 @@ def _scored(rows: DataFrame, table, hot, depth: int, shard: int, shards: int, si
                 )
                 rid += n_rows
 
-    return rows.mapInArrow(run, "rid long, doc_id long, held_out boolean, n_tokens long, hot_known long, base_score double, score double, n_code_bytes long, cold array<struct<word:binary,n:long>>")
+    return rows.mapInArrow(lambda b: releasing(run(b)), "rid long, doc_id long, held_out boolean, n_tokens long, hot_known long, base_score double, score double, n_code_bytes long, cold array<struct<word:binary,n:long>>")
 
 
 def is_held_out(doc_id: int, remainder: int = 2, modulus: int = 7) -> bool:

@@ -33,20 +33,22 @@ def normal(line: bytes) -> bytes:
     return b" ".join(line.translate(_LOWER).split())
 
 
-def lines_of(text: bytes) -> list[tuple[int, bytes]]:
-    """(number, normal form) of the \\n-split lines that have a word: whole texts are translated at once, lines seldom need more than a strip."""
-    out = []
+def lines_of(text: bytes) -> tuple[list[int], list[bytes]]:
+    """Numbers and normal forms of the \\n-split lines that have a word: whole texts are translated at once, lines seldom need more than a strip."""
+    numbers, lines = [], []
     for i, x in enumerate(text.translate(_LOWER).split(b"\n")):
         x = x.strip(b" ")
         if b"  " in x:
             x = b" ".join(x.split())
         if x:
-            out.append((i, x))
-    return out
+            numbers.append(i)
+            lines.append(x)
+    return numbers, lines
 
 
-def line_hash(line: bytes) -> int:
-    return xxhash.xxh64_intdigest(line, 11) - (1 << 63)
+def line_hashes(lines: list[bytes]) -> np.ndarray:
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(x, 11) for x in lines], dtype=np.uint64).view(np.int64)
 
 
 def shingle_hashes(lines: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -130,13 +132,9 @@ def band_pairs(docs: DataFrame, bands: int, rows: int, shingle: int, buckets: in
             for batch in slices(whole, "text"):
                 if len(seen) > 1_000_000:
                     seen.clear()
-                new = {}
-                for text in utf8(batch.column("text")):
-                    for _, line in lines_of(text):
-                        h = line_hash(line)
-                        if h not in seen:
-                            seen.add(h)
-                            new[h] = line
+                lines = list({x for text in utf8(batch.column("text")) for x in lines_of(text)[1]})
+                new = {h: x for h, x in zip(line_hashes(lines).tolist(), lines, strict=True) if h not in seen}
+                seen.update(new)
                 if new:
                     keys = band_keys(signatures(*shingle_hashes(list(new.values()), shingle), bands * rows), bands, rows)
                     held.append(np.stack([keys.ravel(), np.repeat(np.fromiter(new, dtype=np.int64), bands)], axis=1))
@@ -190,19 +188,22 @@ def line_table(docs: DataFrame, wanted: np.ndarray, bitmap: int) -> DataFrame:
             for batch in slices(whole, "text"):
                 if len(seen) > 1_000_000:
                     seen.clear()
-                doc, number, hashes, given = [], [], [], []
-                for k, text in enumerate(utf8(batch.column("text"))):
-                    for i, line in lines_of(text):
-                        h = line_hash(line)
-                        doc.append(k)
-                        number.append(i)
-                        hashes.append(h)
-                        fresh = slots[h & (bitmap - 1)] and h not in seen
-                        given.append(line if fresh else None)
-                        if fresh:
-                            seen.add(h)
-                at = pa.array(doc, pa.int64())
-                columns = [pa.array(np.array(doc, dtype=np.int64) + rid), batch.column("doc_id").take(at), batch.column("t").take(at), pa.array(number, pa.int32()), pa.array(hashes, pa.int64()), pa.array(given, pa.binary())]
+                number, lines, counts = [], [], []
+                for text in utf8(batch.column("text")):
+                    n, x = lines_of(text)
+                    number += n
+                    lines += x
+                    counts.append(len(n))
+                h = line_hashes(lines)
+                given = [None] * len(lines)
+                maybe = np.flatnonzero(slots[h & (bitmap - 1)])
+                for i, own in zip(maybe.tolist(), h[maybe].tolist(), strict=True):
+                    if own not in seen:
+                        seen.add(own)
+                        given[i] = lines[i]
+                doc = np.repeat(np.arange(len(counts)), counts)
+                at = pa.array(doc)
+                columns = [pa.array(doc + rid), batch.column("doc_id").take(at), batch.column("t").take(at), pa.array(number, pa.int32()), pa.array(h), pa.array(given, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["rid", "doc_id", "t", "line_no", "h", "line"])
                 rid += batch.num_rows
 

@@ -111,9 +111,9 @@ def _best(counts: list[tuple[int, int, int, int]], thresholds: list[list[float]]
 
 
 def learn(labelled: DataFrame, max_rules: int = 8, max_conditions: int = 3, least_precision: float = 0.9, least_cover: int = 5, cuts: int = 31) -> list[Rule]:
-    """An ordered decision list from ``labelled``: the FEATURES and ``bad`` (1 or 0), every row of it.
+    """An ordered decision list from ``labelled``: doc_id, the FEATURES and ``bad`` (1 or 0), every row of it.
 
-    Sequential covering: on two thirds of the rows (by the hash of their features) a conjunction of threshold conditions grows
+    Sequential covering: on two thirds of the rows (by the hash of their doc_id) a conjunction of threshold conditions grows
     by FOIL gain; on the other third its last conditions are pruned while (p - n) / (p + n) does not fall; rows it covers go, and
     the next rule starts. A rule whose precision on the pruning rows is below ``least_precision`` ends the list. Thresholds are
     midway between neighbours among ``cuts`` quantiles of each feature, over the good rows and over the bad. Only histograms of bounded size reach the driver.
@@ -124,7 +124,7 @@ def learn(labelled: DataFrame, max_rules: int = 8, max_conditions: int = 3, leas
         return []
     seen = [sorted({float(x) for r in found for x in r[n]}) for n in FEATURES]
     thresholds = [[(a + b) / 2 for a, b in zip(v, v[1:], strict=False)] for v in seen]
-    fold = F.pmod(F.xxhash64(*FEATURES), F.lit(3))
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(3))
     rest, rules = labelled.withColumn("fold", fold), []
     for _ in range(max_rules):
         grow, prune = rest.where("fold <> 0"), rest.where("fold = 0")
@@ -163,7 +163,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, **options) -> tuple[DataFr
     """
     stats = materialize(text_statistics(docs), "statistics").select("*", *features())
     quality = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    labelled = materialize(stats.join(quality, "doc_id").select(*FEATURES, (F.col("quality") == 0).cast("int").alias("bad")), "labelled")
+    labelled = materialize(stats.join(quality, "doc_id").select("doc_id", *FEATURES, (F.col("quality") == 0).cast("int").alias("bad")), "labelled")
     rules = learn(labelled, **options)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return stats.withColumn("base_failed", failed).withColumn("kept", ~failed & ~rejects(rules)), rules
