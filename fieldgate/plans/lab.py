@@ -28,9 +28,9 @@ def simulated_cost(runs: DataFrame) -> DataFrame:
 def metered_cost(usage: DataFrame, rates: dict[str, dict[str, float]] | None = None) -> DataFrame:
     """Adds cost_usd and simulated to rows with model, input_tokens and output_tokens; an unknown model raises an error."""
     rates = METERED_RATES if rates is None else rates
-    price = lambda n: F.try_element_at(F.create_map(*(F.lit(x) for m, r in rates.items() for x in (m, float(r[n])))), F.col("model"))
-    known = F.when(price("input_per_1m").isNotNull(), F.lit(1.0)).otherwise(F.raise_error(F.concat(F.lit("no rate for model "), F.coalesce("model", F.lit("null")))).cast("double"))
-    usd = known * (F.col("input_tokens") / 1e6 * price("input_per_1m") + F.col("output_tokens") / 1e6 * price("output_per_1m"))
+    unknown = F.raise_error(F.concat(F.lit("no rate for model "), F.coalesce("model", F.lit("null")))).cast("double")
+    price = lambda n: F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for m, r in rates.items() for x in (m, float(r[n])))), F.col("model")), unknown)
+    usd = F.col("input_tokens") / 1e6 * price("input_per_1m") + F.col("output_tokens") / 1e6 * price("output_per_1m")
     return usage.withColumns({"cost_usd": half_up(usd, 6), "simulated": F.lit(False)})
 
 
@@ -62,15 +62,13 @@ def public_suite(runs: DataFrame, totals: DataFrame) -> DataFrame:
     return runs.select("version_id", "packet_id", F.col("routing.decision").alias("decision"), F.col("routing.abstained").alias("abstained"), F.size("flags").alias("flag_count"), F.size("conflicts").alias("conflict_count"), F.col("computed_tiv").alias("computedTiv"), F.size("locations").alias("location_count")).join(totals, ["version_id", "packet_id"])
 
 
-def what_if_changes(packets: DataFrame, version: Version, as_of_year: int = 2026, **thresholds: float) -> DataFrame:
-    """packet_id, both decisions and flags of packets that other thresholds move. Extraction and reconciliation, which thresholds don't
-    touch, are planned once."""
+def what_if_changes(runs: DataFrame, version: Version, **thresholds: float) -> DataFrame:
+    """packet_id, both decisions and flags of packets that other thresholds move. ``runs`` of the version are read once (keep them with persist()
+    if they are not a table): thresholds touch neither extraction nor reconciliation."""
     other = what_if(version, **thresholds)
-    resolved = resolve(extract(packets, version, as_of_year), version)
-    base = apply_rules(resolved, version)
-    both = base.select(*resolved.columns, *(F.col(c).alias(f"base_{c}") for c in ("routing", "flags")))
-    both = apply_rules(both, other)
-    out = both.select("packet_id", F.col("base_routing.decision").alias("baseline_decision"), F.col("routing.decision").alias("decision"), F.col("base_routing.abstained").alias("_a"), F.col("routing.abstained").alias("abstained"), F.col("base_flags").alias("baseline_flags"), "flags", "computed_tiv")
+    rules = ("checks", "conflicts", "routing", "flags")
+    base = runs.withColumns({"base_routing": F.struct("routing.decision", "routing.abstained"), "base_flags": F.col("flags")}).drop(*rules)
+    out = apply_rules(base, other).select("packet_id", F.col("base_routing.decision").alias("baseline_decision"), F.col("routing.decision").alias("decision"), F.col("base_routing.abstained").alias("_a"), F.col("routing.abstained").alias("abstained"), F.col("base_flags").alias("baseline_flags"), "flags", "computed_tiv")
     moved = (F.col("baseline_decision") != F.col("decision")) | (F.col("_a") != F.col("abstained")) | (F.col("baseline_flags") != F.col("flags"))
     return out.where(moved).drop("_a")
 

@@ -143,8 +143,8 @@ def sql() -> dict[str, str]:
           CASE WHEN o_orderkey % 5 > 1 THEN strftime(o_orderdate, '%Y-%m-%d') END AS day FROM orders""",
         "date_gaps": """SELECT o_orderkey, (b - a)::BIGINT AS days, round((year(b) - year(a)) * 12 + month(b) - month(a) + (day(b) - day(a)) / 30.44::DOUBLE, 6) AS months
           FROM (SELECT o_orderkey, o_orderdate::DATE AS a, o_orderdate::DATE + (o_orderkey % 500 - 50)::INTEGER AS b FROM orders)""",
-        "normalize_address": _ADDRESSES.replace("{norm}", _normal("raw")) + f""" SELECT p_partkey, raw, norm, list_reduce(list_filter(string_split(norm, ' '), lambda w: length(w) >= 4 AND NOT regexp_matches(w, '^[0-9]') AND NOT list_contains([{_quoted(sorted({*SUFFIXES, *SUFFIXES.values(), *DIRECTIONS, *DIRECTIONS.values()}))}], w)),
-          lambda x, y: CASE WHEN length(y) > length(x) THEN y ELSE x END) AS token, norm || '|' || zip AS key FROM b""",
+        "normalize_address": _ADDRESSES.replace("{norm}", _normal("raw")) + f""" SELECT p_partkey, raw, norm, nullif(list_reduce(list_prepend('', list_filter(string_split(norm, ' '), lambda w: length(w) >= 4 AND NOT regexp_matches(w, '^[0-9]') AND NOT list_contains([{_quoted(sorted({*SUFFIXES, *SUFFIXES.values(), *DIRECTIONS, *DIRECTIONS.values()}))}], w))),
+          lambda x, y: CASE WHEN length(y) > length(x) THEN y ELSE x END), '') AS token, norm || '|' || zip AS key FROM b""",
         "address_similarity": _ADDRESSES.replace("{norm}", _normal("raw")) + """, c AS (SELECT x.p_partkey, x.norm AS p, y.norm AS q, x.zip = y.zip AS same, trim(upper(x.raw)) AS rp, trim(upper(y.raw)) AS rq, levenshtein(x.norm, y.norm) AS distance, greatest(length(x.norm), length(y.norm)) AS longest FROM b x JOIN b y ON y.p_partkey = x.p_partkey + 42),
           d AS (SELECT *, CASE WHEN longest = 0 THEN 1.0 ELSE 1 - distance / longest END::DOUBLE AS s FROM c)
           SELECT p_partkey, distance, round(s, 6) AS similarity, rp <> '' AND rp = rq AND same OR p <> '' AND q <> '' AND same AND (p = q OR s >= 0.92) AS match,

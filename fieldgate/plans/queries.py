@@ -290,7 +290,7 @@ def drill_decoy(spark, sf_dir):
 
 
 def whatif_ceiling(spark, sf_dir):
-    rows = lab.what_if_changes(packets_of(packets(spark, sf_dir)), version(V2), tivCeiling=30_000_000)
+    rows = lab.what_if_changes(runs(spark, sf_dir, V2), version(V2), tivCeiling=30_000_000)
     return rows.select("packet_id", "baseline_decision", "decision", joined(F.col("flags")).alias("flags"))
 
 
