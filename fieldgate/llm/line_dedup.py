@@ -274,9 +274,9 @@ def line_components(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
     roots = components(links)
     known = lines.drop("line").join(roots.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
     place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), "rid", "line_no")
-    first = known.groupBy("root").agg(F.min(place).alias("first"))
-    kept = (F.col("rid") == F.col("first.rid")) & (F.col("line_no") == F.col("first.line_no"))
-    return known.join(first, "root").select("doc_id", "line_no", F.col("h").alias("line_id"), F.col("root").alias("component_id"), kept.alias("kept"), "t")
+    first = known.groupBy("root").agg(F.min(place).alias("first")).select("first.rid", "first.line_no", F.lit(True).alias("kept"))
+    # joined by the line's place, not by its component, which may hold a third of all lines
+    return known.join(first, ["rid", "line_no"], "left").select("doc_id", "line_no", F.col("h").alias("line_id"), F.col("root").alias("component_id"), F.coalesce("kept", F.lit(False)).alias("kept"), "t")
 
 
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
