@@ -142,7 +142,7 @@ def forest(adjacent: np.ndarray, firsts: np.ndarray | None = None) -> tuple[np.n
 
 
 #: What identifies a row of documents where two tables meet: doc_id (and whether it is null) and a hash of the text.
-ROW = ["_d", "_z", "_t"]
+ROW = ["__row_doc_id", "__row_null", "__row_text"]
 
 
 def text_hash(docs: DataFrame):
@@ -150,7 +150,7 @@ def text_hash(docs: DataFrame):
 
 
 def with_row(df: DataFrame, t) -> DataFrame:
-    return df.withColumn("_d", F.coalesce(df["doc_id"].cast("long"), F.lit(0))).withColumn("_z", df["doc_id"].isNull()).withColumn("_t", t)
+    return df.withColumns(dict(zip(ROW, (F.coalesce(df["doc_id"].cast("long"), F.lit(0)), df["doc_id"].isNull(), t), strict=True)))
 
 
 def only_rows(docs: DataFrame, found: DataFrame, how: str = "left_semi") -> DataFrame:

@@ -13,17 +13,19 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, releasing, slices, utf8
+from .common import discard, materialize, releasing, slices, utf8
 from .grams import END, CachedScorer, GramCounts, by_bucket, byte_grams, in_parts, look_up, mask, shard_of, shard_scores
 
 #: Context bytes.
 DEPTH = 5
 #: Nodes that one broadcast holds (12 bytes each); a larger model is scored in as many passes as it has such shards.
 SHARD_NODES = 4_000_000
+#: Bytes of text that a task works on at a time.
+SLICE = 1 << 20
 #: Documents for each bucket that counts are packed in.
 DOCS_A_BUCKET = 2_000
 #: Words whose counts are broadcast, the most frequent ones; all others are joined.
-HOT_WORDS = 100_000
+HOT_WORDS = 200_000
 
 
 def tokens_of(text: bytes) -> list[bytes]:
@@ -62,7 +64,7 @@ def packed_counts(docs: DataFrame, depth: int, buckets: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(pa.array(c, pa.binary()) for c in out[1:])], ["bucket", "words", "grams", "n"])
 
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE):
                 texts = [tokens_of(t) for t in utf8(batch.column("text"))]
                 for t in texts:
                     words.update(t)
@@ -120,8 +122,8 @@ def log_kt(a: Column, b: Column) -> Column:
     return log_gamma(a + 0.5) + log_gamma(b + 0.5) - log_gamma(a + b + 1.0) - F.lit(log(np.pi))
 
 
-def model(grams: DataFrame, depth: int) -> DataFrame:
-    """d, ctx, prefix, q of every node: the mixed probability of a one bit where this node is the deepest known of its path.
+def model(grams: DataFrame, depth: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(nodes, tables to discard once they are written). d, ctx, prefix, q of every node: the mixed probability of a one bit where this node is the deepest known of its path.
 
     A node is a context of d bytes and the bits of the next byte so far (with a leading one). Bottom-up, a node's weighted probability
     is half its KT probability and half the product of its longer contexts'; these give the weights that mix the KT
@@ -145,7 +147,7 @@ def model(grams: DataFrame, depth: int) -> DataFrame:
             node = node.withColumn("lw", F.greatest("le", "lc") + F.log1p(F.exp(-F.abs(F.col("le") - F.col("lc")))) - F.lit(log(2))).drop("lc")
         above = materialize(node.select("ctx", "prefix", "le", "kt", "lw", "m"), f"level{d}")
         levels.append(above)
-    out, over = None, None
+    out, over, written = None, None, list(levels)
     for d, level in zip(range(depth + 1), reversed(levels), strict=True):
         weight = F.exp(F.col("le") - F.lit(log(2)) - F.col("lw")) if d < depth else F.lit(1.0)
         if over is None:
@@ -155,10 +157,11 @@ def model(grams: DataFrame, depth: int) -> DataFrame:
         now = now.select("ctx", "prefix", "m", (F.col("m") != F.col("m0")).alias("own"), (F.col("s0") + F.col("r0") * F.col("kt")).alias("q"), (F.col("s0") + F.col("r0") * weight * F.col("kt")).alias("s"), (F.col("r0") * (1 - weight)).alias("r"))
         if d < depth:
             now = materialize(now, f"mixed{d}")
+            written.append(now)
             over = now.select(F.col("ctx").alias("up"), "prefix", F.col("s").alias("s0"), F.col("r").alias("r0"), F.col("m").alias("m0"))
         row = now.where("own").select(F.lit(d).alias("d"), "ctx", "prefix", F.col("q").cast("float").alias("q"))
         out = row if out is None else out.unionAll(row)
-    return out
+    return out, written
 
 
 def node_key(d: int, ctx: np.ndarray, prefix: np.ndarray) -> np.ndarray:
@@ -219,7 +222,10 @@ def lm_scores(docs: DataFrame, remainder: int = 2, modulus: int = 7, depth: int
     learned = materialize(counts(rows.where(~F.col("held_out")), depth), "counts")
     words = learned.where("word is not null").select("word", "n")
     grams = learned.where("word is null").select("gram", "n")
-    nodes = materialize(model(grams, depth), "nodes")
+    tree, written = model(grams, depth)
+    nodes = materialize(tree, "nodes")
+    for x in written:
+        discard(x)
 
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     least = 0
@@ -232,6 +238,7 @@ def lm_scores(docs: DataFrame, remainder: int = 2, modulus: int = 7, depth: int
         kept += many[k]
     frequent = words.where(F.col("n") >= least).toArrow()
     hot = context.broadcast((END.join(frequent.column("word").to_pylist()) if len(frequent) else None, np.log10(frequent.column("n").to_numpy() + 1.0)))
+    del frequent
 
     shards = max(1, -(-max(nodes.count(), grams.count()) // shard_nodes))
     size = total["n"] + total["v"] + 1
@@ -242,10 +249,12 @@ def lm_scores(docs: DataFrame, remainder: int = 2, modulus: int = 7, depth: int
             part = nodes.where((F.col("d") < 2) | (shard_of(F.col("ctx"), shards) == shard))
             own = grams.where(shard_of(F.shiftright("gram", 8), shards) == shard)
         got = part.select((F.col("d").cast("long") * F.lit(1 << 56) + F.shiftleft("ctx", 8) + F.col("prefix")).alias("key"), "q").sort("key").toArrow()
-        tree = context.broadcast((got.column("key").to_numpy(), got.column("q").to_numpy()))
+        arrays = (got.column("key").to_numpy(), got.column("q").to_numpy())
+        tree = context.broadcast(arrays)
         ready = _ready(own.select("gram"), tree, depth).sort("gram").toArrow()
-        table = context.broadcast((*tree.value, depth, ready.column("gram").to_numpy(), ready.column("log").to_numpy()))
         tree.unpersist()
+        table = context.broadcast((*arrays, depth, ready.column("gram").to_numpy(), ready.column("log").to_numpy()))
+        del got, arrays, ready
         one = materialize(_scored(rows, table, hot, depth, shard, shards, size), "scored")
         if scored is None:
             scored = one
@@ -287,7 +296,7 @@ def _scored(rows: DataFrame, table, hot, depth: int, shard: int, shards: int, si
         rid = TaskContext.get().partitionId() << 33
         cold_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE):
                 texts = [tokens_of(t) for t in utf8(batch.column("text"))]
                 grams, starts = byte_grams([event(t) for t in texts], depth)
                 logs = shard_scores(scorer, grams, shard, shards)

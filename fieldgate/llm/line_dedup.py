@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import bucket_links, spanning
-from .common import ROW, components, materialize, slices, text_hash, utf8, with_row
+from .common import ROW, components, discard, materialize, slices, text_hash, utf8, with_row
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -266,12 +266,14 @@ def line_components(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
     sets = shared.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi"), F.bit_xor("h").alias("x"))
     once = sets.groupBy("n", "lo", "hi", "x").agg(F.min("key").alias("key")).select("key")
     candidates = materialize(shared.join(once, "key", "left_semi"), "candidates")
+    discard(shared)
     wanted = candidates.select(F.col("h").bitwiseAND(F.lit(bitmap - 1)).cast("int").alias("b")).distinct().toArrow().column("b").to_numpy()
     lines = materialize(line_table(docs, wanted, bitmap), "lines")
     texts = lines.where("line is not null").select("h", "line").join(candidates.select("h").distinct(), "h", "left_semi").dropDuplicates(["h"])
     bucket = candidates.join(texts, "h").select("key", F.col("h").alias("node"), "line")
     links = bucket_links(bucket, ["key"], lambda t, b: jaccard_links(t, b, threshold, shingle), block=256)
     roots = components(links)
+    discard(candidates)
     known = lines.drop("line").join(roots.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
     place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), "rid", "line_no")
     first = known.groupBy("root").agg(F.min(place).alias("first")).select("first.rid", "first.line_no", F.lit(True).alias("kept"))
@@ -288,15 +290,15 @@ def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     found = materialize(line_components(docs, **options), "line_components")
     by = ROW
     lines = with_row(found, F.col("t")).groupBy(*by, "line_no").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
-    gone = lines.groupBy(*by).agg(F.max("n").alias("_n"), F.collect_list(F.when(~F.col("kept"), F.col("line_no"))).alias("_gone"))
-    gone = materialize(gone.where((F.size("_gone") > 0) | (F.col("_n") > 1)), "gone")
+    gone = lines.groupBy(*by).agg(F.max("n").alias("__row_n"), F.collect_list(F.when(~F.col("kept"), F.col("line_no"))).alias("__row_gone"))
+    gone = materialize(gone.where((F.size("__row_gone") > 0) | (F.col("__row_n") > 1)), "gone")
     rows = with_row(docs, text_hash(docs))
-    if gone.where("_n > 1").limit(1).count():
+    if gone.where("__row_n > 1").limit(1).count():
         rows = rows.dropDuplicates(by)
-    rows = rows.join(gone.drop("_n"), by, "left")
-    stay = F.when(F.size("_gone") > 0, F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i)))
-    rows = rows.withColumn("_stay", stay).where(F.col("_stay").isNull() | F.exists("_stay", lambda x: x.rlike("[^\\x20\\x09-\\x0D]")))
-    rows = rows.withColumn("text", F.coalesce(F.array_join("_stay", "\n"), "text"))
+    rows = rows.join(gone.drop("__row_n"), by, "left")
+    stay = F.when(F.size("__row_gone") > 0, F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__row_gone", i)))
+    rows = rows.withColumn("__row_stay", stay).where(F.col("__row_stay").isNull() | F.exists("__row_stay", lambda x: x.rlike("[^\\x20\\x09-\\x0D]")))
+    rows = rows.withColumn("text", F.coalesce(F.array_join("__row_stay", "\n"), "text"))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_stay").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        rows = rows.withColumn("n_chars", F.when(F.col("__row_stay").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return rows.select(*docs.columns)

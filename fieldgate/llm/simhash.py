@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import bucket_links, spanning
-from .common import ROW, components, materialize, only_rows, slices, text_hash, utf8, with_row
+from .common import ROW, components, discard, materialize, only_rows, slices, text_hash, utf8, with_row
 
 SEED = 42
 #: For each byte a word of eight byte counters that holds its bits: 255 of them add up without overflow.
@@ -68,7 +68,8 @@ def hamming_links(prints: DataFrame, radius: int = 3, parts: int = 2) -> DataFra
 
     Multi-index hashing: two fingerprints within ``radius`` agree within ``radius // parts`` bits in one of ``parts`` segments.
     The table has each fingerprint under its segments; the probes are the small ball around each segment. A probe
-    that hits no table entry goes; the rest meet the entries in their bucket, where whole distances are verified.
+    that hits no table entry goes; the rest meet the entries in their bucket, where whole distances are verified. ``discard`` of the
+    result deletes what is written on the way.
     """
     tables, probes = [], []
     for k, (shift, width) in enumerate(segments_of(parts)):
@@ -101,14 +102,19 @@ def hamming_links(prints: DataFrame, radius: int = 3, parts: int = 2) -> DataFra
 
         return spanning(borders, pair, square)
 
-    return bucket_links(rows, ["k", "v"], verify)
+    links = bucket_links(rows, ["k", "v"], verify)
+    if probes:
+        links._fieldgate_path = hits._fieldgate_path
+    return links
 
 
 def fingerprint_roots(docs: DataFrame, radius: int, size: int, parts: int) -> tuple[DataFrame, DataFrame]:
     """(fingerprints of the rows, fp and root of each fingerprint): equal fingerprints are one node, so groups of copies cost one row."""
     prints = materialize(fingerprints(docs, size), "fingerprints")
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(hamming_links(distinct.select("fp"), radius, parts)).withColumnRenamed("node", "fp")
+    links = hamming_links(distinct.select("fp"), radius, parts)
+    roots = components(links).withColumnRenamed("node", "fp")
+    discard(links)
     return prints, distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 

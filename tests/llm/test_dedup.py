@@ -108,10 +108,11 @@ def test_lines(spark):
 
 def test_dedup_of_documents(spark):
     data = [(1, "keep this line\n\nand this other one"), (2, "keep this line"), (3, "KEEP  this line\nnew words stand here"), (4, None), (5, " \n "), (6, "same row"), (6, "same row"), (None, "and this other one\nlast of all lines")]
-    docs = spark.createDataFrame([(*d, "x", 0) for d in data], "doc_id bigint, text string, _gone string, n_chars int")
-    got = sorted((str(r["doc_id"]), r["text"]) for r in dedup_lines(docs.drop("_gone")).collect())
+    docs = spark.createDataFrame([(*d, "x", 0) for d in data], "doc_id bigint, text string, _d string, n_chars int")
+    got = sorted((str(r["doc_id"]), r["text"]) for r in dedup_lines(docs).collect())
     assert got == sorted([("1", "keep this line\n\nand this other one"), ("3", "new words stand here"), ("4", None), ("5", " \n "), ("6", "same row"), ("None", "last of all lines")], key=lambda x: (str(x[0]), str(x[1])))
-    again = dedup_lines(dedup_lines(docs.drop("_gone")))
+    again = dedup_lines(dedup_lines(docs))
+    assert again.columns == docs.columns and {r["_d"] for r in again.collect()} == {"x"}
     assert again.count() == 6 and {r["n_chars"] for r in again.where("doc_id = 3").collect()} == {20}
 
 
