@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import METERED_RATES, SIMULATED_RATES, Version, what_if
 from ..functions.noise import perturb
 from ..functions.scalars import half_up, tokens
+from ..operators.diff import compare_packets, gate, movements, slices, summary_delta
 from ..operators.extract import extract
 from ..operators.model_reader import extract_from_model
 from ..operators.reconcile import resolve
@@ -57,6 +58,18 @@ def suite(packets: DataFrame, truth: DataFrame, version: Version, as_of_year: in
     return {"runs": runs, "scores": scores, "totals": totals, "summary": summarize(runs, totals), "calibration": calibration(scores)}
 
 
+def comparison(packets: DataFrame, truth: DataFrame, baseline: Version, candidate: Version, as_of_year: int = 2026) -> dict[str, DataFrame]:
+    """movements, gate, packets, slices and delta of two versions. Their runs and scores are kept in the session, as each is read several times."""
+    sides = []
+    for v in (baseline, candidate):
+        runs = simulated_cost(run(packets, v, as_of_year)).persist()
+        scores = score(runs, truth).persist()
+        sides.append((runs, scores, summarize(runs, run_totals(scores))))
+    (base_runs, base_scores, base_summary), (runs, scores, summary) = sides
+    moves = movements(base_scores, scores)
+    return {"movements": moves, "gate": gate(moves), "packets": compare_packets(base_runs, runs, moves), "slices": slices(moves, truth), "delta": summary_delta(base_summary, summary)}
+
+
 def public_suite(runs: DataFrame, totals: DataFrame) -> DataFrame:
     """What a list of a suite shows of each packet, without the payload."""
     return runs.select("version_id", "packet_id", F.col("routing.decision").alias("decision"), F.col("routing.abstained").alias("abstained"), F.size("flags").alias("flag_count"), F.size("conflicts").alias("conflict_count"), F.col("computed_tiv").alias("computedTiv"), F.size("locations").alias("location_count")).join(totals, ["version_id", "packet_id"])
@@ -105,4 +118,4 @@ def manifest(version: Version, runs: DataFrame, totals: DataFrame, documents: Da
     return outcome.join(F.broadcast(corpus_hash(documents))).select(F.lit(version.id).alias("version_id"), F.lit(version.fingerprint()).alias("profile_hash"), "corpus_hash", F.lit(g.tivCeiling).alias("tiv_ceiling"), F.lit(g.lossRatioCeilingPct).alias("loss_ratio_ceiling_pct"), F.lit(g.maxMonthsAhead).alias("max_months_ahead"), "packet_id", "decision", "abstained", "correct", "total")
 
 
-__all__ = ["corpus_hash", "manifest", "metered_cost", "public_suite", "robustness", "run", "run_all", "simulated_cost", "suite", "what_if_changes"]
+__all__ = ["comparison", "corpus_hash", "manifest", "metered_cost", "public_suite", "robustness", "run", "run_all", "simulated_cost", "suite", "what_if_changes"]

@@ -9,7 +9,7 @@ from fieldgate.config import UnknownVersion, BadThreshold, Version, version, wha
 from fieldgate.operators.diff import compare_packets, drill, gate, movements, slices, summary_delta
 from fieldgate.operators.rules import low_confidence
 from fieldgate.operators.score import calibration
-from fieldgate.plans.lab import corpus_hash, manifest, metered_cost, public_suite, robustness, run, suite, what_if_changes
+from fieldgate.plans.lab import comparison, corpus_hash, manifest, metered_cost, public_suite, robustness, run, suite, what_if_changes
 from fieldgate.sources.packets import as_packets, corpus_index, document, list_packets, read_documents, read_truth, to_json_rows
 
 from . import golden
@@ -149,6 +149,12 @@ def test_projections(corpus, spark):
         metered_cost(usage.withColumn("model", F.lit("other"))).collect()
 
 
+def test_comparison(corpus):
+    c = comparison(corpus[2], corpus[1], version(V2), version(V21))
+    assert c["gate"].first()["verdict"] == "clean" and c["movements"].count() == 2 and c["packets"].count() == 8
+    assert c["slices"].first()["slice"] == "MISSING_FIELD" and c["delta"].first()["correct"] == 2
+
+
 def test_empty_scope(spark):
     none = spark.createDataFrame([("p", None, None, None, None, None)], "packet_id string, acord string, sov string, loss_run string, endorsement string, email string")
     r = run(none, Version("x", Profile("x"), Guidelines())).first()
