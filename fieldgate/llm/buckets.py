@@ -44,13 +44,39 @@ def bucket_links(rows: DataFrame, keys: list[str], verify: Callable[[pa.Table, n
     return met.mapInArrow(run, "a long, b long").distinct()
 
 
+#: Groups of up to this many rows are searched from row to row, which seldom needs more pairs than rows; larger ones by their matrix.
+FEW = 24
+
+
+def reached(start: int, size: int, pair: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """A spanning forest of a small group: each row found is held against the rows not found yet."""
+    left, out = list(range(start, start + size)), []
+    while left:
+        front = [left.pop(0)]
+        while front and left:
+            at = front.pop()
+            hit = pair(np.full(len(left), at), np.array(left))
+            found = [x for x, h in zip(left, hit.tolist(), strict=True) if h]
+            left = [x for x, h in zip(left, hit.tolist(), strict=True) if not h]
+            out += [(at, x) for x in found]
+            front += found
+    return out
+
+
 def spanning(borders: np.ndarray, pair: Callable[[np.ndarray, np.ndarray], np.ndarray], square: Callable[[int, int], np.ndarray]) -> np.ndarray:
-    """Pairs of row numbers that span the links of each group: groups of two all at once by ``pair``, others by their ``square`` matrix."""
+    """Pairs of row numbers that span the links of each group: groups of two all at once by ``pair``, small ones by :func:`reached`, others by their
+    ``square`` matrix."""
     sizes = np.diff(borders)
     two = borders[:-1][sizes == 2]
     out = [np.stack([two, two + 1], axis=1)[pair(two, two + 1)]] if len(two) else []
+    small: list[tuple[int, int]] = []
     for k in np.flatnonzero(sizes > 2).tolist():
         start = int(borders[k])
-        a, b = forest(square(start, int(borders[k + 1])))
-        out.append(np.stack([a, b], axis=1) + start)
+        if sizes[k] <= FEW:
+            small += reached(start, int(sizes[k]), pair)
+        else:
+            a, b = forest(square(start, int(borders[k + 1])))
+            out.append(np.stack([a, b], axis=1) + start)
+    if small:
+        out.append(np.array(small, dtype=np.int64))
     return np.concatenate(out) if out else np.zeros((0, 2), dtype=np.int64)

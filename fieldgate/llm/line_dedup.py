@@ -211,11 +211,21 @@ def line_table(docs: DataFrame, wanted: np.ndarray, bitmap: int) -> DataFrame:
     return read.mapInArrow(run, "rid long, doc_id long, t long, line_no int, h long, line binary")
 
 
+def distinct(hashes: np.ndarray) -> np.ndarray:
+    """Sorted, each once."""
+    h = np.sort(hashes)
+    keep = np.empty(len(h), dtype=bool)
+    keep[:1] = True
+    np.not_equal(h[1:], h[:-1], out=keep[1:])
+    return h[keep]
+
+
 def jaccard_links(table: pa.Table, borders: np.ndarray, threshold: float, shingle: int) -> np.ndarray:
     """Pairs of row numbers that span the links of each group, by the exact Jaccard similarity of their lines' shingle sets."""
     lines = table.column("line").to_pylist()
     hashes, starts = shingle_hashes(lines, shingle)
-    sets = [np.unique(x) for x in np.split(hashes, starts[1:])]
+    bounds = np.append(starts, len(hashes)).tolist()
+    sets = [distinct(hashes[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
     sizes = np.array([len(s) for s in sets])
 
     def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
