@@ -106,6 +106,3 @@ def latest(rows: DataFrame, by: list[str], order: str) -> DataFrame:
     """The last row of each group, by a maximum that is aggregated before the shuffle."""
     names = [c for c in rows.columns if c not in by]
     return rows.groupBy(*by).agg(F.max_by(F.struct(*names), order).alias("r")).select(*by, "r.*")
-
-
-__all__ = ["DRILLS", "compare_packets", "drill", "gate", "injected", "latest", "movements", "slices", "summary_delta"]

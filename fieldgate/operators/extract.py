@@ -239,6 +239,7 @@ def extract(packets: DataFrame, version: Version, as_of_year: int = 2026) -> Dat
     unread = F.size(F.filter("losses", lambda x: x["paid"]["value"].isNull())) + F.size(F.filter("losses", lambda x: x["reserved"]["value"].isNull()))
     some = F.size("losses") > 0
     incurred = make_field(amount("paid") + amount("reserved"), F.when(unread == 0, 0.95).otherwise(0.6), "sum:claim-rows", F.get("losses", F.lit(0))["source_span"], kind=NUMBER)
+    no_note = F.array().cast("array<string>")
     own = [F.when(F.col(f"_{d}").isNotNull(), F.lit(d)) for d in DOCUMENTS]
     return rows.select(
         "packet_id",
@@ -255,5 +256,5 @@ def extract(packets: DataFrame, version: Version, as_of_year: int = 2026) -> Dat
         F.array_compact(F.array(*own)).alias("documents_read"),
         sum((F.coalesce(F.length(f"_{d}"), F.lit(0)) for d in DOCUMENTS), F.lit(0)).cast("bigint").alias("input_chars"),
         F.lit(profile.passes).alias("passes"),
-        *(F.array_compact(F.array(F.when(F.col("endorsement").isNotNull(), F.lit("an amendment is present but out of scope")) if not profile.read_amendments else F.lit(None).cast("string"))).alias(n) for n in ("notes",)),
+        (no_note if profile.read_amendments else F.when(F.col("endorsement").isNotNull(), F.array(F.lit("an amendment is present but out of scope"))).otherwise(no_note)).alias("notes"),
     )

@@ -79,6 +79,3 @@ def extract_from_model(packets: DataFrame, version: Version, cache: DataFrame) -
         F.lit(version.profile.passes).alias("passes"),
         F.array().cast("array<string>").alias("notes"),
     )
-
-
-__all__ = ["LEAF", "RESPONSE", "extract_from_model", "leaf_field", "prompt", "request_key"]

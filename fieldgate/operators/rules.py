@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import CONFIDENCE_FLOOR, LOCATION_FIELDS, REQUIRED_LOCATION_FIELDS, REQUIRED_SCALARS, SOFT_LOCATION_FIELDS, SOFT_SCALARS, TEXT_FIELDS, TIV_TOLERANCE, VALUE_FIELDS, Guidelines, Version
+from ..config import CONFIDENCE_FLOOR, LOCATION_FIELDS, REQUIRED_LOCATION_FIELDS, REQUIRED_SCALARS, SOFT_LOCATION_FIELDS, SOFT_SCALARS, TIV_TOLERANCE, Guidelines, Version
 from ..functions.scalars import days_between, format_usd, iso_date, months_between
 
 SPANS = "array<struct<doc:string,start:int,end:int>>"
@@ -137,5 +137,3 @@ def low_confidence(runs: DataFrame) -> DataFrame:
     rows = F.flatten(F.transform("locations", lambda x: F.array(*(item(F.concat(x["loc_id"], F.lit(f".{n}")), x[n]) for n in LOCATION_FIELDS))))
     return runs.select("packet_id", "version_id", F.explode(F.filter(F.concat(own, rows), lambda i: i["confidence"] < CONFIDENCE_FLOOR)).alias("i")).select("packet_id", "version_id", "i.*")
 
-
-__all__ = ["TEXT_FIELDS", "VALUE_FIELDS", "Version", "appetite", "apply_rules", "checks", "conflicts", "loss_ratio", "low_confidence", "routing", "window"]

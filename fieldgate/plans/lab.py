@@ -116,6 +116,3 @@ def manifest(version: Version, runs: DataFrame, totals: DataFrame, documents: Da
     outcome = runs.select("packet_id", F.col("routing.decision").alias("decision"), F.col("routing.abstained").alias("abstained")).join(totals.select("packet_id", "correct", "total"), "packet_id")
     g = version.guidelines
     return outcome.join(F.broadcast(corpus_hash(documents))).select(F.lit(version.id).alias("version_id"), F.lit(version.fingerprint()).alias("profile_hash"), "corpus_hash", F.lit(g.tivCeiling).alias("tiv_ceiling"), F.lit(g.lossRatioCeilingPct).alias("loss_ratio_ceiling_pct"), F.lit(g.maxMonthsAhead).alias("max_months_ahead"), "packet_id", "decision", "abstained", "correct", "total")
-
-
-__all__ = ["comparison", "corpus_hash", "manifest", "metered_cost", "public_suite", "robustness", "run", "run_all", "simulated_cost", "suite", "what_if_changes"]

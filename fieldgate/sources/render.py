@@ -106,6 +106,3 @@ def packets_of(r: DataFrame) -> DataFrame:
 
 def truth_of(r: DataFrame) -> DataFrame:
     return r.select("packet_id", "label", "edge_cases", *(F.col(c).alias(c[2:]) for c in r.columns if c.startswith("t_")))
-
-
-__all__ = ["DEFECTS", "packets_of", "rendered", "truth_of"]
