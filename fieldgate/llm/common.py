@@ -48,9 +48,8 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def releasing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches; at their end the worker, which Spark uses again, gives freed memory back to the system."""
-    yield from batches
+def give_back() -> None:
+    """Return freed memory to the system: worker processes are used again, and the driver goes on."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -58,6 +57,12 @@ def releasing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pass
 
 
+def releasing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, then :func:`give_back`."""
+    yield from batches
+    give_back()
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about ``most`` bytes of text, so that a worker's memory does not follow the batch."""
     lengths = pc.binary_length(batch.column(column).cast(pa.binary())).fill_null(0)

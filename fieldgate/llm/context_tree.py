@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, releasing, slices, utf8
+from .common import discard, give_back, materialize, releasing, slices, utf8
 from .grams import END, CachedScorer, GramCounts, by_bucket, byte_grams, in_parts, look_up, mask, shard_of, shard_scores
 
 #: Context bytes.
@@ -222,8 +222,8 @@ def lm_scores(docs: DataFrame, remainder: int = 2, modulus: int = 7, depth: int
     learned = materialize(counts(rows.where(~F.col("held_out")), depth), "counts")
     words = learned.where("word is not null").select("word", "n")
     grams = learned.where("word is null").select("gram", "n")
-    tree, written = model(grams, depth)
-    nodes = materialize(tree, "nodes")
+    built, written = model(grams, depth)
+    nodes = materialize(built, "nodes")
     for x in written:
         discard(x)
 
@@ -239,6 +239,7 @@ def lm_scores(docs: DataFrame, remainder: int = 2, modulus: int = 7, depth: int
     frequent = words.where(F.col("n") >= least).toArrow()
     hot = context.broadcast((END.join(frequent.column("word").to_pylist()) if len(frequent) else None, np.log10(frequent.column("n").to_numpy() + 1.0)))
     del frequent
+    give_back()
 
     shards = max(1, -(-max(nodes.count(), grams.count()) // shard_nodes))
     size = total["n"] + total["v"] + 1
@@ -249,13 +250,14 @@ def lm_scores(docs: DataFrame, remainder: int = 2, modulus: int = 7, depth: int
             part = nodes.where((F.col("d") < 2) | (shard_of(F.col("ctx"), shards) == shard))
             own = grams.where(shard_of(F.shiftright("gram", 8), shards) == shard)
         got = part.select((F.col("d").cast("long") * F.lit(1 << 56) + F.shiftleft("ctx", 8) + F.col("prefix")).alias("key"), "q").sort("key").toArrow()
-        arrays = (got.column("key").to_numpy(), got.column("q").to_numpy())
-        tree = context.broadcast(arrays)
-        ready = _ready(own.select("gram"), tree, depth).sort("gram").toArrow()
-        tree.unpersist()
-        table = context.broadcast((*arrays, depth, ready.column("gram").to_numpy(), ready.column("log").to_numpy()))
-        del got, arrays, ready
-        one = materialize(_scored(rows, table, hot, depth, shard, shards, size), "scored")
+        tree = context.broadcast((got.column("key").to_numpy(), got.column("q").to_numpy(), depth))
+        del got
+        give_back()
+        got = _ready(own.select("gram"), tree).sort("gram").toArrow()
+        ready = context.broadcast((got.column("gram").to_numpy(), got.column("log").to_numpy()))
+        del got
+        give_back()
+        one = materialize(_scored(rows, tree, ready, hot, shard, shards, size), "scored")
         if scored is None:
             scored = one
         else:
@@ -276,11 +278,11 @@ def lm_scores(docs: DataFrame, remainder: int = 2, modulus: int = 7, depth: int
     )
 
 
-def _ready(grams: DataFrame, tree, depth: int) -> DataFrame:
+def _ready(grams: DataFrame, tree) -> DataFrame:
     """gram, log of the training texts' grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(*tree.value, depth)
+        scorer = Scorer(*tree.value)
         for batch in batches:
             own = np.sort(batch.column("gram").to_numpy())
             yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(scorer.by_nodes(own).astype(np.float32))], ["gram", "log"])
@@ -288,17 +290,17 @@ def _ready(grams: DataFrame, tree, depth: int) -> DataFrame:
     return grams.mapInArrow(run, "gram long, log float")
 
 
-def _scored(rows: DataFrame, table, hot, depth: int, shard: int, shards: int, size: int) -> DataFrame:
+def _scored(rows: DataFrame, tree, ready, hot, shard: int, shards: int, size: int) -> DataFrame:
     """A pass over the texts with a shard of the model; the first also has the base score of hot words, and the cold words with their frequencies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, known = Scorer(*table.value), {} if hot.value[0] is None else dict(zip(hot.value[0].split(END), hot.value[1].tolist(), strict=True))
+        scorer, known = Scorer(*tree.value, *ready.value), {} if hot.value[0] is None else dict(zip(hot.value[0].split(END), hot.value[1].tolist(), strict=True))
         rid = TaskContext.get().partitionId() << 33
         cold_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
         for whole in batches:
             for batch in slices(whole, "text", SLICE):
                 texts = [tokens_of(t) for t in utf8(batch.column("text"))]
-                grams, starts = byte_grams([event(t) for t in texts], depth)
+                grams, starts = byte_grams([event(t) for t in texts], scorer.depth)
                 logs = shard_scores(scorer, grams, shard, shards)
                 score = np.add.reduceat(logs, starts) / np.log(10)
                 cells: list[list] = [[], [], [], []]
