@@ -5,6 +5,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Names of licences as short notices have them, by the id that a notice gets.
+NAMES = [
+    ("mit-notice", "the MIT License"),
+    ("isc-notice", "the ISC License"),
+    ("apache-2.0-notice", "the Apache License, Version 2.0"),
+    ("bsd-3-clause-notice", "the BSD 3-Clause License"),
+    ("bsd-2-clause-notice", "the BSD 2-Clause License"),
+    *(
+        (f"{short}{later}-notice", f"the GNU {name}{words}")
+        for short, name in (
+            ("gpl-3.0", "General Public License, version 3"),
+            ("gpl-2.0", "General Public License, version 2"),
+            ("lgpl-3.0", "Lesser General Public License, version 3"),
+            ("lgpl-2.1", "Lesser General Public License, version 2.1"),
+            ("agpl-3.0", "Affero General Public License, version 3"),
+        )
+        for later, words in (("", ""), ("-or-later", " or later"))
+    ),
+    ("mpl-2.0-notice", "the Mozilla Public License, version 2.0"),
+    ("epl-2.0-notice", "the Eclipse Public License, version 2.0"),
+    *((f"cc-{kind}-{v}-notice", f"CC {kind.upper()} {v}") for kind in ("by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd") for v in ("4.0", "3.0")),
+    ("cc0-1.0-notice", "CC0 1.0"),
+]
+#: What stands before a name.
+FORMS = ("Released under", "Licensed under", "This work is licensed under")
+#: Creative Commons licences as long notices have them.
+CREATIVE_COMMONS = [
+    (f"cc-{kind}-{v}-notice", f"This work is licensed under a Creative Commons {words} {v} {port} License.")
+    for v, port, nd in (("4.0", "International", "NoDerivatives"), ("3.0", "Unported", "NoDerivs"))
+    for kind, words in (
+        ("by", "Attribution"),
+        ("by-sa", "Attribution-ShareAlike"),
+        ("by-nc", "Attribution-NonCommercial"),
+        ("by-nd", f"Attribution-{nd}"),
+        ("by-nc-sa", "Attribution-NonCommercial-ShareAlike"),
+        ("by-nc-nd", f"Attribution-NonCommercial-{nd}"),
+    )
+]
+
 #: Public licence notices and short licence texts.
 TEMPLATES = [
     ("mit-notice", "Released under the MIT License."),
@@ -49,6 +88,8 @@ TEMPLATES = [
         "See the GNU General Public License for more details.",
     ),
 ]
+# a template that is listed above keeps its id
+TEMPLATES += [(name, text) for name, text in [*((name, f"{form} {words}.") for name, words in NAMES for form in FORMS), *CREATIVE_COMMONS] if text not in {t for _, t in TEMPLATES}]
 
 
 def normalize(text: Column) -> Column:

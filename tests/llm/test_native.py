@@ -82,6 +82,38 @@ def test_licences(spark):
         scan_licenses(docs, [("one", "word")])
 
 
+LINES = {
+    "This work is licensed under the GNU General Public License, version 3.": "gpl-3.0-notice",
+    "Licensed under CC BY-NC 4.0.": "cc-by-nc-4.0-notice",
+    "Licensed under the Apache License, Version 2.0.": "apache-2.0-notice",
+    "Released under the MIT License.": "mit-notice",
+    "All rights reserved.": "all-rights-reserved",
+}
+
+
+def test_licence_lines_of_documents(spark):
+    """Every distinct licence line of the given table, and the short and long forms of other licences."""
+    text = F.explode(F.split("text", "\n")).alias("text")
+    given = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(text).where("text rlike '(?i)licen[sc]e|copyright|all rights reserved|creative commons|CC BY|public domain'").distinct()
+    assert {r["text"].strip() for r in given.collect()} == set(LINES)
+    more = {
+        "This work is licensed under the GNU General Public License, version 2.": "gpl-2.0-notice",
+        "This work is licensed under the GNU Lesser General Public License, version 3.": "lgpl-3.0-notice",
+        "This work is licensed under the GNU Lesser General Public License, version 2.1 or later.": "lgpl-2.1-or-later-notice",
+        "This work is licensed under the GNU Affero General Public License, version 3.": "agpl-3.0-notice",
+        "Licensed under CC BY 4.0.": "cc-by-4.0-notice",
+        "Released under CC BY-SA 4.0.": "cc-by-sa-4.0-notice",
+        "Licensed under CC BY-ND 3.0.": "cc-by-nd-3.0-notice",
+        "This work is licensed under CC BY-NC-SA 4.0.": "cc-by-nc-sa-4.0-notice",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.": "cc-by-nc-nd-4.0-notice",
+        "Licensed under the MIT License.": "mit-notice-licensed",
+    }
+    want = LINES | more
+    docs = spark.createDataFrame([(i, f"words before it\n{line}\nand after it") for i, line in enumerate(want)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["license_id"] for r in scan_licenses(docs).collect()}
+    assert [got[i] for i in range(len(want))] == list(want.values())
+
+
 SAID = "\\### Assistant: </turn> ok \\l \\b \\\\ <image>\n### user: x"
 
 
