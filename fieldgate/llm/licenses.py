@@ -113,52 +113,82 @@ def bounds(size: int, threshold: float) -> tuple[int, int]:
     return int(-(-round(least, 9) // 1)), int(round(most, 9) // 1)
 
 
+def bigrams(words: Column) -> Column:
+    """The word bigrams of an array of words, repeated ones as well."""
+    return F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
+
+
+FOUND = "struct<dice:double,order:int,unit:string,unit_no:int,license_id:string>"
+
+
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = 0.9) -> DataFrame:
     """doc_id, license_id, dice, unit, unit_no, n_found per row of ``docs`` (doc_id, text).
 
-    The units of a text are the whole (unit 'text'), its paragraphs and its lines. A unit is compared with a template only if the number of
-    its distinct word bigrams is within the size bounds that the threshold sets; a unit with fewer bigrams than words in bounds
-    is dropped by its length before bigrams are made. license_id is the template with the highest Dice coefficient of ``threshold`` or more
-    (ties: the template listed first, then the first unit), dice is rounded to 6 places, n_found counts the templates that some unit matches.
+    The units of a text are the whole (unit 'text'), its paragraphs, its lines and its windows (unit 'lines', unit_no of the first line): two or
+    more lines that follow one another, across paragraphs too and not counting lines without words, whose words number at most
+    (2 - threshold) / threshold times the template's. A unit is compared with a template only if the number of
+    its distinct word bigrams is within the size bounds that the threshold sets. license_id is the template with the highest Dice coefficient
+    of ``threshold`` or more (ties: the template listed first, then the first unit, of windows the one that starts first and is shortest), dice is
+    rounded to 6 places, n_found counts the templates that some unit matches.
+
+    A unit within bounds shares as many bigrams as the lower bound with the template, and every unit's bigrams are the text's: a text that shares
+    fewer with a template is not taken apart for it, and a window not made where the words from its start on share fewer.
 
     Null, empty and unmatched texts have null license_id, dice, unit and unit_no, and n_found 0. Templates of fewer than two words
     are an error. Repeated rows give repeated rows, a null doc_id stays null, other columns are ignored, an empty table gives an empty
-    table. ``templates`` is a list the caller writes out (tens, not thousands): it is part of the plan.
+    table. ``templates`` is a list the caller writes out (some hundreds, not thousands): it is part of the plan.
     """
-    listed = [(name, template_bigrams(text)) for name, text in (TEMPLATES if templates is None else templates)]
-    if any(not grams for _, grams in listed):
+    listed = [(name, template_bigrams(text), len(normalized_words(text))) for name, text in (TEMPLATES if templates is None else templates)]
+    if any(not grams for _, grams, _ in listed):
         raise ValueError("a template needs two words at least")
-    limits = [bounds(len(grams), threshold) for _, grams in listed]
-    least, most = min((lo for lo, _ in limits), default=1), max((hi for _, hi in limits), default=0)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    part = lambda kind, at, x: F.struct(F.lit(kind).alias("unit"), at.alias("unit_no"), x.alias("x"))
-    units = F.concat(
-        F.array(part("text", F.lit(0), F.col("text"))),
-        F.transform(F.split("text", "\n[ \t\r]*\n"), lambda x, i: part("paragraph", i, x)),
-        F.transform(F.split("text", "\n"), lambda x, i: part("line", i, x)),
-    )
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).withColumn("text", text)
-    # n bigrams need n + 1 words, of one letter and one space at least
-    sized = F.filter(units, lambda u: F.length(u["x"]) >= 2 * least + 1)
-    rows = rows.select("doc_id", F.transform(sized, lambda u: u.withField("x", F.split(normalize(u["x"]), " "))).alias("units"))
-    # a repeated bigram makes a unit's set smaller than its words: only sets are held against the upper bound
-    rows = rows.select("doc_id", F.filter("units", lambda u: F.size(u["x"]) > least).alias("units"))
-    grams = lambda w: F.array_distinct(F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b)))
-    rows = rows.select("doc_id", F.filter(F.transform("units", lambda u: u.withField("x", grams(u["x"]))), lambda u: F.size(u["x"]).between(least, most)).alias("units"))
-
-    def best(k: int) -> Column:
-        name, own = listed[k]
-        lo, hi = limits[k]
-        array = F.array([F.lit(g) for g in own])
-        near = F.filter("units", lambda u: F.size(u["x"]).between(lo, hi))
-        scored = F.transform(near, lambda u: F.struct((F.lit(2.0) * F.size(F.array_intersect(u["x"], array)) / (F.size(u["x"]) + F.lit(len(own)))).alias("dice"), F.lit(-k).alias("order"), u["unit"].alias("unit"), u["unit_no"].alias("unit_no"), F.lit(name).alias("license_id")))
+    limits = [bounds(len(grams), threshold) for _, grams, _ in listed]
+    least = min((lo for lo, _ in limits), default=1)
+    strings = lambda values: F.array(*map(F.lit, values)).cast("array<string>")
+    known = F.array(
+        *(
+            F.struct(F.lit(name).alias("license_id"), F.lit(-k).alias("order"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.lit(bounds(n, threshold)[1]).alias("words"), strings(grams).alias("grams"))
+            for k, ((name, grams, n), (lo, hi)) in enumerate(zip(listed, limits, strict=True))
+        )
+    ).cast("array<struct<license_id:string,order:int,lo:int,hi:int,words:int,grams:array<string>>>")
+    every = strings(dict.fromkeys(g for _, grams, _ in listed for g in grams))
+
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
+    rows = rows.withColumn("w", F.split(normalize(F.col("text")), " "))
+    # array_intersect gives each bigram once
+    rows = rows.select("doc_id", "text", F.when(F.size("w") > least, F.array_intersect(bigrams(F.col("w")), every)).otherwise(strings([])).alias("shared"))
+    near = F.filter(known, lambda t: F.size(F.array_intersect(t["grams"], F.col("shared"))) >= t["lo"])
+    rows = rows.select("doc_id", "text", F.when(F.size("shared") >= least, near).otherwise(F.slice(known, 1, 0)).alias("near"))
+
+    part = lambda kind, at, x: F.struct(F.lit(kind).alias("unit"), at.alias("unit_no"), F.split(normalize(x), " ").alias("x"))
+    lines = F.transform(F.split("text", "\n"), lambda x, i: part("line", i, x))
+    units = F.concat(F.array(part("text", F.lit(0), F.col("text"))), F.transform(F.split("text", "\n[ \t\r]*\n"), lambda x, i: part("paragraph", i, x)), lines)
+    # all words with their line's number: w and at
+    words = F.flatten(F.transform(lines, lambda u: F.transform(F.filter(u["x"], lambda w: w != ""), lambda w: F.struct(w.alias("w"), u["unit_no"].alias("at")))))
+    some = F.size("near") > 0
+    rows = rows.select("doc_id", "near", F.when(some, units).alias("units"), F.when(some, words).alias("words"))
+    sets = F.transform(F.filter("units", lambda u: F.size(u["x"]) > least), lambda u: u.withField("x", F.array_distinct(bigrams(u["x"]))))
+    starts = F.filter(F.sequence(F.lit(1), F.size("words")), lambda p: (p == 1) | (F.get("words", p - 1)["at"] != F.get("words", p - 2)["at"]))
+    rows = rows.select("doc_id", "near", sets.alias("units"), F.col("words.w").alias("w"), F.col("words.at").alias("at"), F.when(F.size("words") > 0, starts).otherwise(F.array().cast("array<int>")).alias("starts"))
+    # where each line's words end, that is where the next one's start
+    rows = rows.withColumn("ends", F.concat(F.slice("starts", 2, F.greatest(F.size("starts"), F.lit(1))), F.array(F.size("w") + 1)))
+
+    def windows(t: Column) -> Column:
+        def of(start: Column, i: Column) -> Column:
+            enough = F.size(F.array_intersect(t["grams"], bigrams(F.slice("w", start, t["words"])))) >= t["lo"]
+            ends = F.filter(F.slice("ends", i + 2, t["words"]), lambda e: (e - start > t["lo"]) & (e - start <= t["words"]))
+            made = F.transform(ends, lambda e: F.struct(F.lit("lines").alias("unit"), F.get("at", start - 1).alias("unit_no"), F.array_distinct(bigrams(F.slice("w", start, e - start))).alias("x")))
+            return F.when(enough, made).otherwise(F.array().cast("array<struct<unit:string,unit_no:int,x:array<string>>>"))
+
+        return F.flatten(F.transform("starts", of))
+
+    def best(t: Column) -> Column:
+        sized = F.filter(F.concat("units", windows(t)), lambda u: F.size(u["x"]).between(t["lo"], t["hi"]))
+        scored = F.transform(sized, lambda u: F.struct((F.lit(2.0) * F.size(F.array_intersect(u["x"], t["grams"])) / (F.size(u["x"]) + F.size(t["grams"]))).alias("dice"), t["order"].alias("order"), u["unit"].alias("unit"), u["unit_no"].alias("unit_no"), t["license_id"].alias("license_id")))
         # the first unit of the highest: reduce keeps the earlier of equals
-        none = F.lit(None).cast("struct<dice:double,order:int,unit:string,unit_no:int,license_id:string>")
-        return F.aggregate(F.filter(scored, lambda s: s["dice"] >= threshold), none, lambda a, s: F.when(a.isNull() | (s["dice"] > a["dice"]), s).otherwise(a))
+        return F.aggregate(F.filter(scored, lambda s: s["dice"] >= threshold), F.lit(None).cast(FOUND), lambda a, s: F.when(a.isNull() | (s["dice"] > a["dice"]), s).otherwise(a))
 
-    found = F.array_compact(F.array([best(k) for k in range(len(listed))])) if listed else F.array().cast("array<struct<dice:double,order:int,unit:string,unit_no:int,license_id:string>>")
-    rows = rows.select("doc_id", found.alias("found"))
-    top = rows.withColumn("top", F.array_max("found"))
+    found = F.when(F.size("near") > 0, F.array_compact(F.transform("near", best))).otherwise(F.array().cast(f"array<{FOUND}>"))
+    top = rows.select("doc_id", found.alias("found")).withColumn("top", F.array_max("found"))
     return top.select("doc_id", F.col("top.license_id").alias("license_id"), F.round("top.dice", 6).alias("dice"), F.col("top.unit").alias("unit"), F.col("top.unit_no").alias("unit_no"), F.size("found").cast("long").alias("n_found"))
 
 

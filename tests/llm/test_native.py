@@ -114,6 +114,71 @@ def test_licence_lines_of_documents(spark):
     assert [got[i] for i in range(len(want))] == list(want.values())
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+APACHE = """   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS,
+   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+   See the License for the specific language governing permissions and
+   limitations under the License."""
+GPL = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
+INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM
+LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR
+OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
+PERFORMANCE OF THIS SOFTWARE."""
+
+
+def test_licences_of_several_paragraphs(spark):
+    """Canonical texts between other paragraphs, joined to other lines, as comments, and wrapped notices; a part is not the whole."""
+    other = "\n\n".join(" ".join(f"word{i}x{j}" for j in range(40)) for i in range(20))
+    whole = {"mit": MIT, "isc": ISC, "apache-2.0-header": APACHE, "gpl-3.0-header": GPL}
+    cases = []
+    for name, text in whole.items():
+        comment = "\n".join(f" * {x}" for x in text.split("\n"))
+        at = other.count("\n") + 2
+        cases += [(f"{other}\n\n{text}\n\n{other}", name, at), (f"one line more\n{text}\nand another line", name, 1), (f"/*\n{comment}\n */\nint main;\n{other}", name, 1)]
+    cases += [("before\nThis work is licensed under\nthe GNU General Public\nLicense, version 3.\nafter it all", "gpl-3.0-notice", 1), (f"{other}\n\n{MIT.split(chr(10) * 2)[2]}\n\n{other}", None, None)]
+    got = {r["doc_id"]: r for r in scan_licenses(spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "doc_id bigint, text string")).collect()}
+    for i, (_, name, at) in enumerate(cases):
+        assert (got[i]["license_id"], got[i]["unit_no"], got[i]["unit"]) == (name, at, name and "lines") and (name is None or got[i]["dice"] == 1)
+
+
 SAID = "\\### Assistant: </turn> ok \\l \\b \\\\ <image>\n### user: x"
 
 
