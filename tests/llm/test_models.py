@@ -156,3 +156,18 @@ def test_classifier(spark, shard_rows):
     assert len(got) == len(data)
     kept = keep_good(docs, labels, order=3, least_texts=5, margin=1.5)
     assert kept.columns == docs.columns and kept.count() == sum(r["kept"] for r in got)
+
+
+def test_classifier_rejects_repeats_and_navigation(spark):
+    """Words repeated after one another and menus, labelled and not, go; unseen good texts stay, short ones too."""
+    rng = random.Random(4)
+    clean = [(i, X.prose(rng, rng.choice([8, 60, 200])), "en") for i in range(240)]
+    unseen = [(1000 + i, X.prose(rng, rng.choice([8, 60, 200])), "en") for i in range(60)]
+    repeats = [(2000 + i, " ".join([clean[i][1].split()[0].capitalize()] * 150), "en") for i in range(30)]
+    menus = [(3000 + i, " | ".join(w.capitalize() for w in X.prose(rng, 80).split()), "en") for i in range(30)]
+    labels = spark.createDataFrame([(d[0], 1, 0) for d in clean] + [(d[0], 0, 0) for d in [*repeats[:20], *menus[:20]]], "doc_id bigint, quality int, toxic int")
+    docs = spark.createDataFrame([*clean, *unseen, *repeats, *menus], "doc_id bigint, text string, lang string").repartition(3)
+    kept = {r["doc_id"] for r in classify(docs, labels).where("kept").collect()}
+    of = lambda rows: sum(d[0] in kept for d in rows)
+    loose = {r["doc_id"] for r in classify(docs, labels, margin=1.25).where("kept").collect()}
+    assert of(repeats) <= 5 < sum(d[0] in loose for d in repeats) and of(menus) == 0 and of(unseen) >= 57 and of(clean) >= 235
