@@ -123,12 +123,12 @@ def log_kt(a: Column, b: Column) -> Column:
 
 
 def model(grams: DataFrame, depth: int) -> tuple[DataFrame, list[DataFrame]]:
-    """(nodes, tables to discard once they are written). d, ctx, prefix, q of every node: the mixed probability of a one bit where this node is the deepest known of its path.
+    """(nodes, tables to discard once they are written). d, ctx, prefix, logit of every node: the log odds of a one bit, mixed, where this node is the deepest known of its path.
 
     A node is a context of d bytes and the bits of the next byte so far (with a leading one). Bottom-up, a node's weighted probability
     is half its KT probability and half the product of its longer contexts'; these give the weights that mix the KT
     estimates of all depths top-down. A node with all of its parent's counts mixes to the parent's q and is left out: the parent is then
-    the deepest known, with the same result. ``grams``: gram, n.
+    the deepest known, with the same result. Log odds stay exact as float32 where a probability near one would round to one. ``grams``: gram, n.
     """
     levels: list[DataFrame] = []
     above: DataFrame | None = None
@@ -159,7 +159,7 @@ def model(grams: DataFrame, depth: int) -> tuple[DataFrame, list[DataFrame]]:
             now = materialize(now, f"mixed{d}")
             written.append(now)
             over = now.select(F.col("ctx").alias("up"), "prefix", F.col("s").alias("s0"), F.col("r").alias("r0"), F.col("m").alias("m0"))
-        row = now.where("own").select(F.lit(d).alias("d"), "ctx", "prefix", F.col("q").cast("float").alias("q"))
+        row = now.where("own").select(F.lit(d).alias("d"), "ctx", "prefix", (F.log("q") - F.log(F.greatest(1 - F.col("q"), F.lit(2.0**-53)))).cast("float").alias("logit"))
         out = row if out is None else out.unionAll(row)
     return out, written
 
@@ -171,9 +171,9 @@ def node_key(d: int, ctx: np.ndarray, prefix: np.ndarray) -> np.ndarray:
 class Scorer(CachedScorer):
     """ln of each gram's probability from sorted node keys; those of the training texts' own grams may be given ready."""
 
-    def __init__(self, keys: np.ndarray, q: np.ndarray, depth: int, grams: np.ndarray | None = None, logs: np.ndarray | None = None):
+    def __init__(self, keys: np.ndarray, logits: np.ndarray, depth: int, grams: np.ndarray | None = None, logs: np.ndarray | None = None):
         super().__init__()
-        self.keys, self.q, self.depth, self.known, self.logs = keys, q, depth, grams, logs
+        self.keys, self.logits, self.depth, self.known, self.logs = keys, logits, depth, grams, logs
 
     def slow(self, grams: np.ndarray) -> np.ndarray:
         if self.known is None or not len(self.known):
@@ -188,15 +188,15 @@ class Scorer(CachedScorer):
         byte, out = grams & 255, np.zeros(len(grams))
         for j in range(8):
             prefix = (1 << j) | byte >> (8 - j)
-            p = np.full(len(grams), 0.5)
+            odds = np.zeros(len(grams))
             open_ = np.arange(len(grams))
             for d in range(self.depth, -1, -1):
-                q, hit = look_up(self.keys, self.q, node_key(d, grams[open_] >> 8 & mask(d), prefix[open_]))
-                p[open_[hit]] = q[hit]
+                logit, hit = look_up(self.keys, self.logits, node_key(d, grams[open_] >> 8 & mask(d), prefix[open_]))
+                odds[open_[hit]] = logit[hit]
                 open_ = open_[~hit]
                 if not len(open_):
                     break
-            out += np.log(np.where(byte >> (7 - j) & 1, p, 1 - p))
+            out -= np.logaddexp(0, np.where(byte >> (7 - j) & 1, -odds, odds))
         return out
 
 
@@ -249,8 +249,8 @@ def lm_scores(docs: DataFrame, remainder: int = 2, modulus: int = 7, depth: int
         if shards > 1:
             part = nodes.where((F.col("d") < 2) | (shard_of(F.col("ctx"), shards) == shard))
             own = grams.where(shard_of(F.shiftright("gram", 8), shards) == shard)
-        got = part.select((F.col("d").cast("long") * F.lit(1 << 56) + F.shiftleft("ctx", 8) + F.col("prefix")).alias("key"), "q").sort("key").toArrow()
-        tree = context.broadcast((got.column("key").to_numpy(), got.column("q").to_numpy(), depth))
+        got = part.select((F.col("d").cast("long") * F.lit(1 << 56) + F.shiftleft("ctx", 8) + F.col("prefix")).alias("key"), "logit").sort("key").toArrow()
+        tree = context.broadcast((got.column("key").to_numpy(), got.column("logit").to_numpy(), depth))
         del got
         give_back()
         got = _ready(own.select("gram"), tree).sort("gram").toArrow()

@@ -4,9 +4,10 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
-from fieldgate.llm.context_tree import is_held_out, lm_scores, log_gamma
+from fieldgate.llm.context_tree import Scorer, is_held_out, lm_scores, log_gamma, model, node_key
 from fieldgate.llm.kneser_ney import classify, keep_good, trusted
 
 from . import fixtures as X
@@ -82,6 +83,17 @@ def test_scores(spark, shard_nodes, hot_words):
     assert len({g[0] for g in got}) > 50
 
 
+def test_nearly_certain_node(spark):
+    """1e8 ones and one zero in a node: the rare byte, a training text's own, has a finite score."""
+    grams = spark.createDataFrame([(0x61, 10**8), (0x60, 1)], "gram long, n long")
+    nodes = model(grams, 0)[0].toPandas().sort_values("prefix")
+    scorer = Scorer(node_key(0, nodes["ctx"].to_numpy(), nodes["prefix"].to_numpy()), nodes.drop(columns=["d", "ctx", "prefix"]).iloc[:, 0].to_numpy(), 0)
+    n = 10**8 + 1
+    same = 7 * math.log((n + 0.5) / (n + 1))
+    want = [same + math.log((10**8 + 0.5) / (n + 1)), same + math.log(1.5 / (n + 1))]
+    assert scorer.by_nodes(np.array([0x61, 0x60])).tolist() == pytest.approx(want, rel=1e-5)
+
+
 def test_empty_tables(spark):
     assert lm_scores(X.empty(spark), depth=2).collect() == []
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
