@@ -102,17 +102,20 @@ def robustness(packets: DataFrame, truth: DataFrame, version: Version, profiles:
     return reduce(DataFrame.unionByName, out)
 
 
-def corpus_hash(documents: DataFrame) -> DataFrame:
-    """One row, corpus_hash: sha256 over the hashes of packets, each over those of its documents by doc_id. Two levels, so that one
-    task gets fixed-size hashes of packets, by blocks of 16 bits of them, and never texts."""
+def corpus_hash(documents: DataFrame, truth: DataFrame | None = None) -> DataFrame:
+    """One row, corpus_hash: sha256 over the hashes of packets, each over those of its documents by doc_id
+    and, with ``truth``, of its truth row, all columns by name. Two levels, so that one task gets fixed-size hashes of packets, by blocks of 16 bits of them, and never texts."""
     leaf = documents.select("packet_id", F.sha2(F.concat_ws("\x1f", "packet_id", "doc_id", "text"), 256).alias("h"))
+    if truth is not None:
+        label = F.to_json(F.struct(*sorted(truth.columns)), {"ignoreNullFields": "false"})
+        leaf = leaf.unionByName(truth.select("packet_id", F.sha2(F.concat_ws("\x1e", F.lit("truth"), "packet_id", label), 256).alias("h")))
     packet = leaf.groupBy("packet_id").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("h"))
     block = packet.groupBy(F.substring("h", 1, 4).alias("b")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("h"))
     return block.agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("corpus_hash"))
 
 
-def manifest(version: Version, runs: DataFrame, totals: DataFrame, documents: DataFrame) -> DataFrame:
+def manifest(version: Version, runs: DataFrame, totals: DataFrame, documents: DataFrame, truth: DataFrame | None = None) -> DataFrame:
     """A row per packet outcome of the run, under the version's fingerprint and the corpus hash."""
     outcome = runs.select("packet_id", F.col("routing.decision").alias("decision"), F.col("routing.abstained").alias("abstained")).join(totals.select("packet_id", "correct", "total"), "packet_id")
     g = version.guidelines
-    return outcome.join(F.broadcast(corpus_hash(documents))).select(F.lit(version.id).alias("version_id"), F.lit(version.fingerprint()).alias("profile_hash"), "corpus_hash", F.lit(g.tivCeiling).alias("tiv_ceiling"), F.lit(g.lossRatioCeilingPct).alias("loss_ratio_ceiling_pct"), F.lit(g.maxMonthsAhead).alias("max_months_ahead"), "packet_id", "decision", "abstained", "correct", "total")
+    return outcome.join(F.broadcast(corpus_hash(documents, truth))).select(F.lit(version.id).alias("version_id"), F.lit(version.fingerprint()).alias("profile_hash"), "corpus_hash", F.lit(g.tivCeiling).alias("tiv_ceiling"), F.lit(g.lossRatioCeilingPct).alias("loss_ratio_ceiling_pct"), F.lit(g.maxMonthsAhead).alias("max_months_ahead"), "packet_id", "decision", "abstained", "correct", "total")

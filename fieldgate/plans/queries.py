@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import LOCATION_FIELDS, VALUE_FIELDS, version
+from ..config import DOCUMENTS, LOCATION_FIELDS, VALUE_FIELDS, version
 from ..functions import scalars as S
 from ..functions import text as X
 from ..functions.noise import pdf_layout
@@ -310,9 +310,15 @@ def corpus_manifest(spark, sf_dir):
     return lab.corpus_hash(table(spark, sf_dir, "documents").select(F.col("source").alias("packet_id"), F.col("doc_id").cast("string").alias("doc_id"), "text"))
 
 
+def documents_of(packets: DataFrame) -> DataFrame:
+    """packet_id, doc_id, text of every document that a packet has."""
+    each = F.explode(F.array(*(F.struct(F.lit(d).alias("doc_id"), F.col(d).alias("text")) for d in DOCUMENTS)))
+    return packets.select("packet_id", each.alias("d")).select("packet_id", "d.*").where("text is not null")
+
+
 def version_manifest(spark, sf_dir):
-    docs = packets(spark, sf_dir).select("packet_id", F.lit("sov").alias("doc_id"), F.col("sov").alias("text"))
-    return lab.manifest(version(V2), runs(spark, sf_dir, V2), run_totals(scores(spark, sf_dir, V2)), docs)
+    r = packets(spark, sf_dir)
+    return lab.manifest(version(V2), runs(spark, sf_dir, V2), run_totals(scores(spark, sf_dir, V2)), documents_of(packets_of(r)), truth_of(r))
 
 
 def _log(spark, sf_dir) -> DataFrame:

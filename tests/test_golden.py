@@ -9,8 +9,10 @@ from fieldgate.config import UnknownVersion, BadThreshold, Version, version, wha
 from fieldgate.operators.diff import compare_packets, drill, gate, movements, slices, summary_delta
 from fieldgate.operators.rules import low_confidence
 from fieldgate.operators.score import calibration
+from fieldgate.plans import queries
 from fieldgate.plans.lab import comparison, corpus_hash, manifest, metered_cost, public_suite, robustness, run, suite, what_if_changes
 from fieldgate.sources.packets import as_packets, corpus_index, document, list_packets, read_documents, read_truth, to_json_rows
+from fieldgate.sources.render import rendered
 
 from . import golden
 
@@ -136,6 +138,28 @@ def test_robustness_and_manifest(corpus):
     assert version(V1).fingerprint() != version(V2).fingerprint()
 
 
+def test_manifest_covers_documents_and_truth(spark, monkeypatch):
+    """The registered manifest's hash changes with any document of a packet and with its truth."""
+    some = rendered(spark, "/root/testdata/sf0.001").limit(40)
+    r = spark.createDataFrame(some.collect(), some.schema)
+    runs = spark.createDataFrame([("P", ("quote", False))], "packet_id string, routing struct<decision:string,abstained:boolean>")
+    monkeypatch.setattr(queries, "runs", lambda *a: runs)
+    monkeypatch.setattr(queries, "scores", lambda *a: None)
+    monkeypatch.setattr(queries, "run_totals", lambda _: spark.createDataFrame([("P", 1, 1)], "packet_id string, correct int, total int"))
+
+    def hash_of(df):
+        monkeypatch.setattr(queries, "packets", lambda *a: df)
+        return queries.version_manifest(spark, "").first()["corpus_hash"]
+
+    scalar = next(c for c, t in r.dtypes if c.startswith("t_") and t == "string")
+    hashes = [hash_of(r)]
+    for c in ("acord", "sov", "loss_run", "endorsement", "email", scalar):
+        first = r.where(F.col(c).isNotNull()).agg(F.min("packet_id")).first()[0]
+        assert first is not None
+        hashes.append(hash_of(r.withColumn(c, F.when(F.col("packet_id") == first, F.concat(c, F.lit("x"))).otherwise(F.col(c)))))
+    assert len(set(hashes)) == 7 and hash_of(r.repartition(3)) == hashes[0]
+
+
 def test_projections(corpus, spark):
     s = corpus[3]
     assert public_suite(s[V2]["runs"], s[V2]["totals"]).count() == 8
