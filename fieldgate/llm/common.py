@@ -19,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; a folder of this machine only where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='fieldgate-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -34,13 +36,20 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame | None) -> None:
-    """Delete a table written by :func:`materialize` once nothing reads it any more."""
-    path = getattr(df, "_fieldgate_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+def holding(df: DataFrame, *tables: DataFrame | None) -> DataFrame:
+    """``df``, knowing the written ``tables`` that it still reads: :func:`discard` of it deletes them."""
+    df._fieldgate_tables = [t for t in tables if t is not None]
+    return df
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Delete tables written by :func:`materialize`, and those that a result holds, once nothing reads them any more."""
+    for df in frames:
+        discard(*getattr(df, "_fieldgate_tables", ()))
+        path = getattr(df, "_fieldgate_path", None)
+        if path:
+            p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes]:

@@ -9,7 +9,9 @@ import public_tokenizers as P
 import pytest
 
 from fieldgate.llm.byte_bpe import decode_ids, encode_documents, load
-from fieldgate.llm.token_counts import token_counts
+from fieldgate.llm.common import discard
+from fieldgate.llm.token_counts import check_vocabulary, token_counts
+from fieldgate.llm.words import Words
 
 from . import fixtures as X
 
@@ -28,18 +30,43 @@ def key(r):
     return tuple((x is None, x) for x in r)
 
 
-@pytest.mark.parametrize("memo", [1, 400_000])
-def test_counts_match_the_library(spark, memo):
+@pytest.mark.parametrize("hot_words", [0, 20, 200_000])
+def test_counts_match_the_library(spark, hot_words):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(VOCABULARY)
-    want = [(r[0], len(X.utf8(r[1])), len(tokenizer.encode(r[1] or "", add_special_tokens=False).ids)) for r in X.rows()]
-    got = [tuple(r) for r in token_counts(X.frame(spark), VOCABULARY, 2048, memo).collect()]
+    more = ["x<|STARTOFTEXT|>y", "x<|startoftext|>y and <|EndOfText|>", "<|endoftext|>", "<|END", "OFTEXT|> \u212a<|startoftext|", "I\u0307 A\u030a \u0308x"]
+    data = X.rows() + [(900 + i, t, *X.rows()[0][2:]) for i, t in enumerate(more)]
+    want = [(r[0], len(X.utf8(r[1])), len(tokenizer.encode(r[1] or "", add_special_tokens=False).ids)) for r in data]
+    result = token_counts(X.frame(spark, data), VOCABULARY, 2048, hot_words)
+    got = [tuple(r) for r in result.collect()]
+    discard(result)
     assert sorted((g[:3] for g in got), key=key) == sorted(want, key=key)
     assert all(g[3] == (g[2] > 2048) for g in got) and any(g[3] for g in got)
     assert token_counts(X.empty(spark), VOCABULARY).collect() == []
 
 
+def test_other_vocabularies_are_refused(tmp_path):
+    from tokenizers import Tokenizer, models
+
+    Tokenizer(models.BPE({"a": 0, " ": 1, "a ": 2, "b": 3}, [("a", " ")])).save(str(tmp_path / "joins.json"))
+    with pytest.raises(ValueError):
+        check_vocabulary(str(tmp_path / "joins.json"))
+    check_vocabulary(VOCABULARY)
+
+
+def test_words_of_batches():
+    import pyarrow as pa
+
+    texts = [r[1] for r in X.rows()] + ["", None, " ", "a  b", "\u3000x", "A\x0b\x0cB\n"]
+    for part in (texts, texts[3:], [None], [""], []):
+        words = Words(pa.array(["skip", *part], pa.string()).slice(1))
+        want = [X.words_of(t) for t in part]
+        assert words.array().to_pylist() == [w for t in want for w in t] and np.diff(words.borders).tolist() == list(map(len, want))
+        flat, starts = words.events(3, 10)
+        assert [flat[a:b].tobytes() for a, b in zip(starts, starts[1:])] == [b"\n\n\n" + b" ".join(t) + b"\n" for t in want]
+
+
 def test_merge_replay_matches_the_library(encoding):
     rng = random.Random(1)
     words = [bytes(rng.choices(b"abeinrthAB \xc3\xa9\xff", k=rng.randint(0, 40))) for _ in range(3000)] + [b"", b"a" * 300, b"ab" * 200, b"the"]
