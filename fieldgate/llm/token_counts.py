@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import holding, materialize, releasing, slices, utf8
-from .words import Words, hot_from, lists, per_text, sums, word_counts
+from .words import Words, coded, hot_from, lists, per_text, sums, word_counts
 
 #: Pre-tokens whose piece counts are broadcast, the most frequent ones; all others are joined.
 HOT_WORDS = 200_000
@@ -80,20 +80,19 @@ def token_counts(docs: DataFrame, vocabulary: str, max_tokens: int = 2048, hot_w
     known = materialize(word_pieces(word_counts(rows), vocabulary), "pieces")
     least = hot_from(known, hot_words)
     frequent = known.where(F.col("n") >= least).toArrow()
-    hot = context.broadcast((b"\n".join(frequent.column("word").to_pylist()) if len(frequent) else None, frequent.column("pieces").to_numpy().astype(np.int32)))
+    hot = context.broadcast((pa.concat_arrays([*frequent.column("word").chunks, pa.array([], pa.binary())]), frequent.column("pieces").to_numpy()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, special = _tokenizer(vocabulary)
-        pieces = {} if hot.value[0] is None else dict(zip(hot.value[0].split(b"\n"), hot.value[1].tolist(), strict=True))
+        frequent, pieces = hot.value
         rid = TaskContext.get().partitionId() << 33
         for whole in batches:
             for batch in slices(whole, "text"):
                 words = Words(batch.column("text"))
-                coded = words.array().dictionary_encode()
-                distinct, codes = coded.dictionary, coded.indices.to_numpy()
-                each = np.fromiter((pieces.get(w, -1) for w in distinct.to_pylist()), dtype=np.int64, count=len(distinct))
-                n_tokens = sums(np.maximum(each, 0)[codes], words.borders)
-                text, code, n = per_text(codes[each[codes] < 0], np.searchsorted(np.flatnonzero(each[codes] < 0), words.borders), len(distinct))
+                codes, distinct = coded(frequent, words.array())
+                n_tokens = sums(np.append(pieces, np.zeros(len(distinct) - len(pieces), pieces.dtype))[codes], words.borders)
+                rare = codes >= len(pieces)
+                text, code, n = per_text(codes[rare], np.searchsorted(np.flatnonzero(rare), words.borders), len(distinct))
                 n_bytes = np.diff(words.texts)
                 if odd := odd_texts(words, special):
                     texts = utf8(batch.column("text"))

@@ -121,6 +121,12 @@ def hot_from(items: DataFrame, most: int) -> int:
     return 0
 
 
+def coded(hot: pa.Array, items: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Codes of ``items``, and the distinct ``hot`` and other items that they stand for: codes below len(hot) are places in ``hot``."""
+    both = pa.concat_arrays([hot, items]).dictionary_encode()
+    return both.indices.to_numpy()[len(hot) :], both.dictionary
+
+
 def per_text(codes: np.ndarray, borders: np.ndarray, distinct: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of flat item ``codes`` below ``distinct``, whose texts end at ``borders``: (text, code, how often) of every item of every text."""
     text = np.repeat(np.arange(len(borders) - 1), np.diff(borders))
