@@ -167,9 +167,21 @@ def with_row(df: DataFrame, t) -> DataFrame:
     return df.withColumns(dict(zip(ROW, (F.coalesce(df["doc_id"].cast("long"), F.lit(0)), df["doc_id"].isNull(), t), strict=True)))
 
 
-def only_rows(docs: DataFrame, found: DataFrame, how: str = "left_semi") -> DataFrame:
-    """The rows of ``docs`` that ``found`` (doc_id, t) names, or with left_anti those that it doesn't."""
-    return with_row(docs, text_hash(docs)).join(with_row(found, F.col("t")).select(*ROW).distinct(), ROW, how).select(*docs.columns)
+#: Rows of a join's small side, of some numbers each, that are broadcast at most; more are shuffled.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, to be broadcast if it has ``most`` rows at most; a join shuffles it otherwise. For written tables: it is counted."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def only_rows(docs: DataFrame, found: DataFrame, how: str = "left_semi", *tables: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``found`` (doc_id, t) names, or with left_anti those that it doesn't. Texts stay where they are unless ``found``
+    is too large to broadcast. The result holds ``tables``, which ``found`` reads, no more than until they are not needed."""
+    named = materialize(with_row(found, F.col("t")).select(*ROW).distinct(), "named")
+    discard(*tables)
+    return holding(with_row(docs, text_hash(docs)).join(small(named), ROW, how).select(*docs.columns), named)
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:

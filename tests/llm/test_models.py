@@ -7,7 +7,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from fieldgate.llm.context_tree import Scorer, is_held_out, lm_scores, log_gamma, model, node_key
+from fieldgate.llm.common import discard
+from fieldgate.llm.context_tree import Tree, is_held_out, lm_scores, log_gamma
 from fieldgate.llm.kneser_ney import classify, keep_good, trusted
 
 from . import fixtures as X
@@ -65,33 +66,35 @@ def tree_scores(training, every, depth):
     return out
 
 
-@pytest.mark.parametrize("shard_nodes, hot_words", [(4_000_000, 100_000), (3_000, 20)])
-def test_scores(spark, shard_nodes, hot_words):
-    data = [r for r in X.rows() if r[1] is None or len(r[1]) < 3000]
+@pytest.mark.parametrize("depth, hot_grams, hot_words", [(2, 4_000_000, 100_000), (2, 300, 20), (5, 3000, 20)])
+def test_scores(spark, depth, hot_grams, hot_words):
+    """Several partitions and buckets, frequent and rare items, long texts; at the registered depth on the shorter texts."""
+    data = [r for r in X.rows() if depth < 5 or r[1] is None or len(r[1]) < 300]
     training = [r[1] for r in data if r[0] is None or not is_held_out(r[0])]
     words = Counter(w for t in training for w in [*X.words_of(t), b"\0end"])
     n, v = sum(words.values()), len(words)
-    scores = tree_scores(training, [r[1] for r in data], 2)
+    scores = tree_scores(training, [r[1] for r in data], depth)
     want = []
     for r, s in zip(data, scores, strict=True):
         own = [*X.words_of(r[1]), b"\0end"]
         base = sum(math.log10((words[w] + 1) / (n + v + 1)) for w in own)
         want.append((r[0] if r[0] is not None else -1, r[0] is not None and is_held_out(r[0]), len(own), sum(words[w] > 0 for w in own), n, round(base, 6), round(s, 3)))
-    got = [(-1 if g["doc_id"] is None else g["doc_id"], g["held_out"], g["n_tokens"], g["n_known"], g["train_tokens"], round(g["base_score"], 6), round(g["score"], 3)) for g in lm_scores(X.frame(spark, data), depth=2, shard_nodes=shard_nodes, hot_words=hot_words).collect()]
+    result = lm_scores(X.frame(spark, data), depth=depth, hot_grams=hot_grams, hot_words=hot_words)
+    got = [(-1 if g["doc_id"] is None else g["doc_id"], g["held_out"], g["n_tokens"], g["n_known"], g["train_tokens"], round(g["base_score"], 6), round(g["score"], 3)) for g in result.collect()]
     for a, b in zip(sorted(got), sorted(want), strict=True):
-        assert a[:5] == b[:5] and a[5] == pytest.approx(b[5], abs=1e-5) and a[6] == pytest.approx(b[6], rel=1e-4, abs=2e-3)
-    assert len({g[0] for g in got}) > 50
+        assert a[:5] == b[:5] and a[5] == pytest.approx(b[5], abs=1e-5, rel=1e-9) and a[6] == pytest.approx(b[6], rel=1e-4, abs=2e-3)
+    assert len({g[0] for g in got}) > 15
+    discard(result)
 
 
-def test_nearly_certain_node(spark):
+def test_nearly_certain_node():
     """1e8 ones and one zero in a node: the rare byte, a training text's own, has a finite score."""
-    grams = spark.createDataFrame([(0x61, 10**8), (0x60, 1)], "gram long, n long")
-    nodes = model(grams, 0)[0].toPandas().sort_values("prefix")
-    scorer = Scorer(node_key(0, nodes["ctx"].to_numpy(), nodes["prefix"].to_numpy()), nodes.drop(columns=["d", "ctx", "prefix"]).iloc[:, 0].to_numpy(), 0)
+    tree = Tree.of_grams(np.array([0x60, 0x61]), np.array([1, 10**8]), 0, 0).mix(None)
     n = 10**8 + 1
     same = 7 * math.log((n + 0.5) / (n + 1))
     want = [same + math.log((10**8 + 0.5) / (n + 1)), same + math.log(1.5 / (n + 1))]
-    assert scorer.by_nodes(np.array([0x61, 0x60])).tolist() == pytest.approx(want, rel=1e-5)
+    assert tree.logs(np.array([0x61, 0x60])).tolist() == pytest.approx(want, rel=1e-6, abs=1e-9)
+    assert np.exp(tree.logs(np.arange(256))).sum() == pytest.approx(1)
 
 
 def test_empty_tables(spark):
@@ -102,10 +105,9 @@ def test_empty_tables(spark):
     assert len(none) == len(X.rows()) and all(r["kept"] == bool(r["perplexity"]) and r["threshold"] is None for r in none)
 
 
-def test_log_gamma(spark):
-    rows = spark.range(1, 400).selectExpr("id / 2.0D AS x")
-    for r in rows.select("x", log_gamma(rows["x"]).alias("g")).collect():
-        assert r["g"] == pytest.approx(math.lgamma(r["x"]), rel=1e-8, abs=1e-8)
+def test_log_gamma():
+    for x in np.arange(0.5, 200, 0.5):
+        assert log_gamma(np.array([x]))[0] == pytest.approx(math.lgamma(x), rel=1e-8, abs=1e-8)
 
 
 def kneser_ney(training, order):
@@ -142,32 +144,53 @@ def kneser_ney(training, order):
     return p
 
 
-@pytest.mark.parametrize("shard_rows", [3_000_000, 800])
-def test_classifier(spark, shard_rows):
+def rank(values, q):
+    return sorted(values)[max(math.ceil(q * len(values)), 1) - 1]
+
+
+@pytest.mark.parametrize("hot_grams", [2_000_000, 60])
+def test_classifier(spark, hot_grams):
+    """Perplexities, thresholds and verdicts against direct computation."""
     rng = random.Random(9)
     clean = [(i, X.prose(rng, 60), ["en", "fr"][i % 2]) for i in range(80)]
-    junk = [(1000 + i, "".join(rng.choice("#$%&*QXZ0987") for _ in range(200)), "en") for i in range(10)]
-    data = [*clean, *junk, (2000, None, "en"), (2001, "", "fr"), (None, clean[0][1], None), (5, clean[5][1], "fr")]
+    junk = [(1000 + i, "".join(rng.choice("#$%&*QXZ0987") for _ in range(200)), ["en", "de"][i % 2]) for i in range(10)]
+    data = [*clean, *junk, (2000, None, "en"), (2001, "", "fr"), (None, clean[0][1], None), (5, clean[5][1], "fr"), (2002, clean[2][1], ""), (2003, X.prose(rng, 4000), "en")]
     docs = spark.createDataFrame([(*d, "x", 1) for d in data], "doc_id bigint, text string, lang string, t string, g int").repartition(3)
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 80, 2)] + [(1000, 0, 0), (1, 1, 1), (3, 1, None), (None, 1, 0), (0, 1, 0)], "doc_id bigint, quality int, toxic int")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(80) if i % 4] + [(1000, 0, 0), (1001, 0, 1), (0, 1, 1), (4, 1, None), (None, 1, 0), (1, 1, 0), (8, 1, 0), (8, 0, 0)], "doc_id bigint, quality int, toxic int")
     good = {r["doc_id"] for r in trusted(labels).collect()}
-    assert good == {*range(0, 80, 2), 3}
-    training = [d[1].encode() for d in data if d[0] in good and d[1]]
-    p = kneser_ney(training, 3)
-    got = classify(docs, labels, order=3, least_texts=5, shard_rows=shard_rows, margin=1.5).collect()
+    assert good == {i for i in range(80) if i % 4} | {4}
+    out = {r["doc_id"] for r in spark.createDataFrame([(i,) for i in good], "doc_id long").where("pmod(xxhash64('held out', doc_id), 3) = 0").collect()}
+    perplexity = lambda p, own: math.exp(-sum(math.log(p((b"\n\n" + own + b"\n")[i : i + 3], 3)) for i in range(len(own) + 1)) / (len(own) + 1))
+    spread = lambda text: 1 + math.sqrt(500 / (len(text) + 1))
+    p = kneser_ney([d[1].encode() for d in data if d[0] in good], 3)
+    blind = kneser_ney([d[1].encode() for d in data if d[0] in good - out], 3)
+    unseen = [(d[2], math.log(perplexity(blind, d[1].encode())), d[1].encode()) for d in data if d[0] in out]
+    level = {l: rank([h for k, h, _ in unseen if l in (None, k)], 0.5) for l in (None, "en", "fr")}
+    z = [(l, (h - level[l]) / spread(t)) for l, h, t in unseen]
+    bad = [(d[2], (math.log(perplexity(p, d[1].encode())) - level.get(d[2], level[None])) / spread(d[1].encode())) for d in data if d[0] in (1000, 1001)]
+    cut = {}
+    for l in (None, "en", "fr"):
+        own, other = ([v for k, v in x if l in (None, k)] for x in (z, bad))
+        costs = [(1 - q + (sum(v <= rank(own, q) for v in other) / len(other) if other else 0), i, rank(own, q)) for i, q in enumerate((0.99, 0.9925, 0.995, 0.9975, 0.999))]
+        cut[l] = min(costs)[2], len(own)
+    threshold = {l: (c * n + 20 * cut[None][0]) / (n + 20) if l else c for l, (c, n) in cut.items()}
+    got = classify(docs, labels, order=3, prior_texts=20, hot_grams=hot_grams).collect()
     text = {(d[0], d[2]): d[1] for d in data}
     for r in got:
         own = (text[r["doc_id"], r["lang"]] or "").encode()
         if not own:
             assert r["perplexity"] is None and not r["kept"]
             continue
-        padded = b"\n\n" + own + b"\n"
-        logs = [math.log(p(padded[i - 2 : i + 1], 3)) for i in range(2, len(padded))]
-        assert r["perplexity"] == pytest.approx(math.exp(-sum(logs) / len(logs)), rel=1e-4) and r["n_bytes"] == len(logs)
-        assert r["kept"] == (r["doc_id"] is None or r["doc_id"] < 1000)
-    assert len(got) == len(data)
-    kept = keep_good(docs, labels, order=3, least_texts=5, margin=1.5)
+        l = r["lang"] if r["lang"] in threshold else None
+        assert r["perplexity"] == pytest.approx(perplexity(p, own), rel=1e-4) and r["n_bytes"] == len(own) + 1
+        assert r["threshold"] == pytest.approx(math.exp(level[l] + threshold[l] * spread(own)), rel=1e-4)
+        assert r["kept"] == (r["perplexity"] <= r["threshold"])
+        assert r["kept"] or r["doc_id"] not in good - out
+        assert r["kept"] == (r["doc_id"] is None or r["doc_id"] < 1000) or r["doc_id"] in (2002, 2003) or r["doc_id"] is not None and r["doc_id"] < 80
+    assert len(got) == len(data) and sum(not r["kept"] for r in got) <= 10 + 2 + 4
+    kept = keep_good(docs, labels, order=3, prior_texts=20)
     assert kept.columns == docs.columns and kept.count() == sum(r["kept"] for r in got)
+    assert keep_good(docs.limit(0), labels, order=3).collect() == []
 
 
 def test_classifier_rejects_repeats_and_navigation(spark):
@@ -181,5 +204,4 @@ def test_classifier_rejects_repeats_and_navigation(spark):
     docs = spark.createDataFrame([*clean, *unseen, *repeats, *menus], "doc_id bigint, text string, lang string").repartition(3)
     kept = {r["doc_id"] for r in classify(docs, labels).where("kept").collect()}
     of = lambda rows: sum(d[0] in kept for d in rows)
-    loose = {r["doc_id"] for r in classify(docs, labels, margin=1.25).where("kept").collect()}
-    assert of(repeats) <= 5 < sum(d[0] in loose for d in repeats) and of(menus) == 0 and of(unseen) >= 57 and of(clean) >= 235
+    assert of(repeats) <= 5 and of(menus) == 0 and of(unseen) >= 57 and of(clean) >= 235
