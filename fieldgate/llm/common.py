@@ -188,19 +188,19 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, root) for every node of undirected ``edges`` (a, b): root is the smallest node of its connected component.
 
     Distributed union-find by alternating large-star and small-star steps; each round is written to the
-    shared folder, and the one before it deleted. Minima are aggregated before the shuffle, so a hub
-    of any degree is no group in one task.
+    shared folder, and the one before it deleted. Minima are aggregated before the shuffle and go to the joins by a shuffle of their own (rebalanced),
+    so that both sides of a join are plain shuffles, whose partitions adaptive execution splits where a hub has many neighbours.
     """
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     kind = dict(now.dtypes)["a"]
     before = None
     for _ in range(rounds):
         both = now.select("a", "b").unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")).hint("rebalance")
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # small star: every node's smaller neighbours and the node itself go to the smallest of them
         down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").select(F.col("b").alias("x"), "m").where("x <> m").unionAll(down.select(F.col("a").alias("x"), "m"))
+        small = large.join(down.hint("rebalance"), "a").select(F.col("b").alias("x"), "m").where("x <> m").unionAll(down.select(F.col("a").alias("x"), "m"))
         new = materialize(small.select(F.col("x").alias("a"), F.col("m").alias("b")).distinct(), "edges")
         sign = F.struct(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0)).alias("s"))
         mark = new.agg(sign.alias("x")).first()["x"]
@@ -212,4 +212,4 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = now.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("root"))
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(roots).select(F.col("node").cast(kind), F.col("root").cast(kind))
+    return holding(now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(roots).select(F.col("node").cast(kind), F.col("root").cast(kind)), now)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import bucket_links, spanning
-from .common import ROW, components, discard, materialize, slices, text_hash, utf8, with_row
+from .common import ROW, components, discard, holding, materialize, releasing, slices, small, text_hash, utf8, with_row
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -142,7 +142,7 @@ def band_pairs(docs: DataFrame, bands: int, rows: int, shingle: int, buckets: in
                     yield from flush()
         yield from flush()
 
-    return docs.select("text").mapInArrow(run, "bucket long, pairs binary")
+    return docs.select("text").mapInArrow(lambda b: releasing(run(b)), "bucket long, pairs binary")
 
 
 def shared_bands(packed: DataFrame) -> DataFrame:
@@ -171,7 +171,7 @@ def shared_bands(packed: DataFrame) -> DataFrame:
             yield met()
 
     n = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return packed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "key long, h long")
+    return packed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda b: releasing(run(b)), "key long, h long")
 
 
 def line_table(docs: DataFrame, wanted: np.ndarray, bitmap: int) -> DataFrame:
@@ -208,7 +208,7 @@ def line_table(docs: DataFrame, wanted: np.ndarray, bitmap: int) -> DataFrame:
                 rid += batch.num_rows
 
     read = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), text_hash(docs).alias("t"))
-    return read.mapInArrow(run, "rid long, doc_id long, t long, line_no int, h long, line binary")
+    return read.mapInArrow(lambda b: releasing(run(b)), "rid long, doc_id long, t long, line_no int, h long, line binary")
 
 
 def distinct(hashes: np.ndarray) -> np.ndarray:
@@ -262,7 +262,7 @@ def line_components(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
     Lines are the \\n-split parts of whole texts, compared in normal form (A-Z lower-cased, white space collapsed) by the Jaccard similarity of
     their sets of ``shingle`` characters: ``threshold`` or more links two lines. line_id is a 64-bit hash of the normal form; equal
     lines are one node. component_id is the smallest line_id that links reach. kept is true for one line of each component: the
-    first by doc_id (null last), then by row and line_no.
+    first by doc_id (null last), then by line_no; of rows that repeat a doc_id any one may come first.
 
     MinHash signatures of ``bands`` x ``rows`` give bands; lines that share a band are candidates. Bands with the same members count
     once. Candidates' texts are read again and verified exactly, in blocks inside large bands, and distributed
@@ -288,27 +288,40 @@ def line_components(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
     place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), "rid", "line_no")
     first = known.groupBy("root").agg(F.min(place).alias("first")).select("first.rid", "first.line_no", F.lit(True).alias("kept"))
     # joined by the line's place, not by its component, which may hold a third of all lines
-    return known.join(first, ["rid", "line_no"], "left").select("doc_id", "line_no", F.col("h").alias("line_id"), F.col("root").alias("component_id"), F.coalesce("kept", F.lit(False)).alias("kept"), "t")
+    out = known.join(first, ["rid", "line_no"], "left").select("doc_id", "line_no", F.col("h").alias("line_id"), F.col("root").alias("component_id"), F.coalesce("kept", F.lit(False)).alias("kept"), "t")
+    return holding(out, lines, roots)
+
+
+#: Line numbers that the join which removes lines broadcasts at most; more are shuffled, and texts with them.
+BROADCAST_LINES = 4_000_000
 
 
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with all its columns, and of each component of lines only the one that :func:`line_components` keeps.
 
-    Blank lines stay. A row all of whose lines are kept elsewhere goes; rows without a line stay as they are. Rows that repeat both doc_id and
-    text become one, whose lines are those that any of them keeps. n_chars, where there is one, is counted again.
+    Blank lines stay. A row all of whose lines are kept elsewhere goes; rows without a line (null, empty and blank texts) stay as they are. Rows that repeat both
+    doc_id and text become one, whose lines are those that any of them keeps; where they differ in other columns any one may stay. n_chars, where there is one, is counted
+    again. An empty table gives an empty table.
     """
-    found = materialize(line_components(docs, **options), "line_components")
+    components = line_components(docs, **options)
+    found = materialize(components, "line_components")
+    discard(components)
     by = ROW
     lines = with_row(found, F.col("t")).groupBy(*by, "line_no").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
     gone = lines.groupBy(*by).agg(F.max("n").alias("__row_n"), F.collect_list(F.when(~F.col("kept"), F.col("line_no"))).alias("__row_gone"))
     gone = materialize(gone.where((F.size("__row_gone") > 0) | (F.col("__row_n") > 1)), "gone")
+    discard(found)
     rows = with_row(docs, text_hash(docs))
     if gone.where("__row_n > 1").limit(1).count():
         rows = rows.dropDuplicates(by)
-    rows = rows.join(gone.drop("__row_n"), by, "left")
-    stay = F.when(F.size("__row_gone") > 0, F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__row_gone", i)))
-    rows = rows.withColumn("__row_stay", stay).where(F.col("__row_stay").isNull() | F.exists("__row_stay", lambda x: x.rlike("[^\\x20\\x09-\\x0D]")))
+    numbers = gone.agg(F.coalesce(F.sum(F.size("__row_gone")), F.lit(0))).first()[0]
+    rows = rows.join(small(gone.drop("__row_n")) if numbers <= BROADCAST_LINES else gone.drop("__row_n"), by, "left")
+    rows = rows.withColumn("__row_lines", F.when(F.size("__row_gone") > 0, F.split("text", "\n")))
+    # array_except and an element's place take time in proportion to the lines
+    rows = rows.withColumn("__row_numbers", F.array_except(F.sequence(F.lit(0), F.size("__row_lines") - 1), "__row_gone"))
+    rows = rows.withColumn("__row_stay", F.transform("__row_numbers", lambda i: F.col("__row_lines")[i]))
+    rows = rows.where(F.col("__row_stay").isNull() | F.exists("__row_stay", lambda x: x.rlike("[^\\x20\\x09-\\x0D]")))
     rows = rows.withColumn("text", F.coalesce(F.array_join("__row_stay", "\n"), "text"))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(F.col("__row_stay").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+    return holding(rows.select(*docs.columns), gone)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import bucket_links, spanning
-from .common import ROW, components, discard, materialize, only_rows, slices, text_hash, utf8, with_row
+from .common import ROW, components, discard, holding, materialize, only_rows, releasing, slices, text_hash, utf8, with_row
 
 SEED = 42
 #: For each byte a word of eight byte counters that holds its bits: 255 of them add up without overflow.
@@ -49,7 +49,7 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
                 prints = [fingerprint_of(np.array([digest(s, SEED) for s in shingles(t.lower().split(), size)], dtype=np.uint64)) for t in utf8(batch.column("text"))]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), pa.array(np.array(prints, dtype=np.uint64).view(np.int64))], ["doc_id", "t", "fp"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"], text_hash(docs).alias("t")).mapInArrow(run, "doc_id long, t long, fp long")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"], text_hash(docs).alias("t")).mapInArrow(lambda b: releasing(run(b)), "doc_id long, t long, fp long")
 
 
 def segments_of(parts: int) -> list[tuple[int, int]]:
@@ -113,9 +113,11 @@ def fingerprint_roots(docs: DataFrame, radius: int, size: int, parts: int) -> tu
     prints = materialize(fingerprints(docs, size), "fingerprints")
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     links = hamming_links(distinct.select("fp"), radius, parts)
-    roots = components(links).withColumnRenamed("node", "fp")
+    roots = components(links)
     discard(links)
-    return prints, distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    linked = materialize(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "linked")
+    discard(roots)
+    return prints, linked
 
 
 def near_duplicates(docs: DataFrame, radius: int = 3, size: int = 3, parts: int = 2) -> DataFrame:
@@ -131,16 +133,22 @@ def near_duplicates(docs: DataFrame, radius: int = 3, size: int = 3, parts: int
     prints, linked = fingerprint_roots(docs, radius, size, parts)
     smallest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     known = linked.join(smallest, "root").select("fp", "component_id")
-    return prints.join(known, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return holding(prints.join(known, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"), prints, linked)
 
 
 def keep_one(docs: DataFrame, radius: int = 3, size: int = 3, parts: int = 2) -> DataFrame:
     """``docs``, with all their columns, but of each component of :func:`near_duplicates` only one row: the one with the smallest doc_id (null last),
-    among rows that repeat it any one text."""
+    among rows that repeat it the one whose text has the smallest hash. Of rows that agree in doc_id and text but not in other columns any one may stay.
+
+    Null and empty texts are near duplicates of each other; an empty table gives an empty table.
+    """
     prints, linked = fingerprint_roots(docs, radius, size, parts)
     rows = prints.join(linked.select("fp", "root"), "fp")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("t").alias("t")))
     chosen = materialize(rows.groupBy("root").agg(best.alias("b")).select(F.col("b.d").alias("doc_id"), F.col("b.t").alias("t")), "chosen")
-    kept = only_rows(docs, chosen)
-    twice = with_row(prints, F.col("t")).groupBy(*ROW).count().where("count > 1").limit(1).count()
-    return with_row(kept, text_hash(kept)).dropDuplicates(ROW).select(*docs.columns) if twice else kept
+    every = with_row(prints, F.col("t")).groupBy(*ROW, "doc_id", "t").agg(F.count(F.lit(1)).alias("n"))
+    gone = materialize(every.join(with_row(chosen, F.col("t")).select(*ROW, F.lit(True).alias("stays")), ROW, "left").where("stays is null or n > 1"), "gone")
+    kept = only_rows(docs, gone.where("stays is null"), "left_anti", prints, chosen)
+    twice = gone.where("stays and n > 1").limit(1).count()
+    discard(gone)
+    return holding(with_row(kept, text_hash(kept)).dropDuplicates(ROW).select(*docs.columns), kept) if twice else kept
