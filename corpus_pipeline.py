@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from fieldgate.llm.byte_bpe import encode_documents
-from fieldgate.llm.common import discard, materialize
+from fieldgate.llm.common import discard, holding, materialize
 from fieldgate.llm.decontaminate import decontaminate
 from fieldgate.llm.kneser_ney import keep_good
 from fieldgate.llm.line_dedup import dedup_lines
@@ -57,9 +57,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, from the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    before = None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
-        discard(before)
-        before = docs
-    return STAGES[-1][1](spark, docs, sf_dir)
+        result = stage(spark, docs, sf_dir)
+        kept = materialize(result, name)
+        discard(result, docs)
+        docs = kept
+    return holding(STAGES[-1][1](spark, docs, sf_dir), docs)
