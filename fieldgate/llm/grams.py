@@ -7,10 +7,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import holding, materialize, releasing, slices
+from .common import give_back, holding, materialize, releasing, slices
 from .words import hot_from, lists, per_text, sums, text_bytes
 
 END = b"\n"
@@ -128,7 +128,10 @@ class Logs:
 def broadcast_hot(known: DataFrame, least: int):
     """Sorted grams and logs of ``known`` (gram, n, log) with n of ``least`` or more, for :class:`Logs`."""
     got = known.where(F.col("n") >= least).select("gram", F.col("log").cast("float").alias("log")).sort("gram").toArrow()
-    return known.sparkSession.sparkContext.broadcast((got.column("gram").to_numpy(), got.column("log").to_numpy()))
+    out = known.sparkSession.sparkContext.broadcast((got.column("gram").to_numpy(), got.column("log").to_numpy()))
+    del got
+    give_back()
+    return out
 
 
 def log_sums(rows: DataFrame, known: DataFrame, grams_of: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], hot_grams: int, slice_bytes: int = 1 << 20) -> DataFrame:
@@ -163,7 +166,3 @@ def cold_sums(texts: DataFrame, rid: str, cold: str, known: DataFrame, least: in
     pairs = texts.select(rid, F.explode(cold).alias("c")).select(rid, F.col("c.gram").alias("gram"), F.col("c.n").alias("m"))
     return pairs.join(known.where(F.col("n") < least).select("gram", "log"), "gram").groupBy(rid).agg(F.sum(F.col("m") * F.col("log")).alias("more"))
 
-
-def suffix(gram: Column, k: int) -> Column:
-    """The last ``k`` bytes of a gram."""
-    return gram.bitwiseAND(F.lit(mask(k)))
