@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scalars import trim
@@ -22,6 +22,15 @@ def lines(text: Column) -> Column:
     return F.coalesce(F.split(F.regexp_replace(text, "\r\n", "\n"), "\n"), F.array().cast("array<string>"))
 
 
+def line_index(documents: DataFrame, text: str = "text") -> DataFrame:
+    """``documents`` without their text, a row per line: line_no (from 1), start, end and line. Offsets are a running sum, linear in a document's lines."""
+    others = [c for c in documents.columns if c != text]
+    rows = documents.withColumn("_doc", F.monotonically_increasing_id()).select("_doc", *others, F.posexplode(lines(F.col(text))).alias("_i", "line"))
+    before = Window.partitionBy("_doc").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("start", F.coalesce(F.sum(F.length("line").cast("bigint") + 1).over(before), F.lit(0).cast("bigint")))
+    return rows.select(*others, (F.col("_i") + 1).cast("bigint").alias("line_no"), "start", (F.col("start") + F.length("line")).alias("end"), "line")
+
+
 def line_starts(rows: Column, i: Column) -> Column:
     """Where line ``i`` (from 0) of an array of lines starts."""
     return F.when(i == 0, F.lit(0)).otherwise(F.length(F.array_join(F.slice(rows, 1, i), "\n")) + 1).cast("int")

@@ -60,7 +60,7 @@ def summary_delta(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
 
 def injected(scores: DataFrame, blank_only: bool = False, fixed: int = 0) -> DataFrame:
     """``scores`` with the first correct item (by packet, then key; with ``blank_only`` the first whose truth is blank) made wrong, and the first
-    ``fixed`` wrong items made right; ``mutated`` tells which ('broken', 'fixed').
+    ``fixed`` wrong items (by packet, then key) made right; ``mutated`` tells which ('broken', 'fixed').
 
     Each pick is a top-k over the scores, aggregated before it is shuffled, not a sort of them all.
     """
@@ -69,7 +69,7 @@ def injected(scores: DataFrame, blank_only: bool = False, fixed: int = 0) -> Dat
     good = scores.where("correct").where(blank if blank_only else F.lit(True)).agg(F.min(order).alias("_o"))
     rows = scores.join(F.broadcast(good)).withColumn("_broken", F.coalesce(F.col("_o") == order, F.lit(False))).drop("_o")
     if fixed:
-        bad = scores.where("NOT correct").orderBy("packet_id", "ord").limit(fixed).select("packet_id", "key", "ord", F.lit(True).alias("_fixed"))
+        bad = scores.where("NOT correct").orderBy("packet_id", "key", "ord").limit(fixed).select("packet_id", "key", "ord", F.lit(True).alias("_fixed"))
         rows = rows.join(F.broadcast(bad), ["packet_id", "key", "ord"], "left")
     else:
         rows = rows.withColumn("_fixed", F.lit(None).cast("boolean"))

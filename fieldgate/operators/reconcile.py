@@ -32,11 +32,17 @@ def duplicates(rows: Column, fuzzy: bool) -> Column:
 
 
 def resolve(extracted: DataFrame, version: Version) -> DataFrame:
-    """Adds listed (locations as listed), locations (kept and amended), dup_members, applied, unmatched, listed_tiv, computed_tiv, unreadable,
+    """Adds listed (locations as listed), locations (kept and amended), dup_members, removed_notes (a sentence for each row removed as a repeat), applied, unmatched, listed_tiv, computed_tiv, unreadable,
     and the computedTiv field."""
     fuzzy = version.guidelines.addressMatching == "normalized"
     rows = extracted.withColumnRenamed("locations", "listed").withColumn("_dup", duplicates(F.col("listed"), fuzzy))
     rows = rows.withColumn("dup_members", F.transform(F.filter("_dup", lambda d: d["keep"] != d["i"]), lambda d: F.struct(d["keep"].alias("keep_idx"), d["i"].alias("dup_idx"), d["basis"].alias("basis"), d["score"].alias("score"))))
+    # a group's basis and score are those of the last of its members
+    of_group = lambda d: F.element_at(F.filter("dup_members", lambda o: o["keep_idx"] == d["keep_idx"]), -1)
+    rows = rows.withColumn("dup_members", F.transform("dup_members", lambda d: F.struct(d["keep_idx"].alias("keep_idx"), d["dup_idx"].alias("dup_idx"), of_group(d)["basis"].alias("basis"), of_group(d)["score"].alias("score"))))
+    shown = lambda x: F.concat(x["loc_id"], F.lit(" ("), F.coalesce(x["address"]["value"], F.lit("null")), F.lit(")"))
+    at = lambda i: F.get("listed", i)
+    rows = rows.withColumn("removed_notes", F.transform(F.array_sort("dup_members", lambda a, b: a["dup_idx"] - b["dup_idx"]), lambda d: F.concat(F.lit("Removed "), shown(at(d["dup_idx"])), F.lit(" as a repeat of "), shown(at(d["keep_idx"])), F.lit(", matched on "), d["basis"], F.lit("."))))
     rows = rows.withColumn("_kept", F.filter("listed", lambda x: F.get("_dup", x["row_idx"])["keep"] == x["row_idx"]))
 
     def targeted(a: Column) -> Column:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..config import CONFIDENCE_FLOOR, LOCATION_FIELDS, REQUIRED_LOCATION_FIELDS, REQUIRED_SCALARS, SOFT_LOCATION_FIELDS, SOFT_SCALARS, TIV_TOLERANCE, Guidelines, Version
 from ..functions.scalars import days_between, format_usd, iso_date, months_between
 
-SPANS = "array<struct<doc:string,start:int,end:int>>"
+SPAN = "struct<doc:string,start:int,end:int>"
+SPANS = f"array<{SPAN}>"
 EVIDENCE_MOST = 12
 
 
@@ -61,7 +62,8 @@ def checks(g: Guidelines) -> Column:
     hard, soft = hard_missing("locations"), soft_missing()
     received, effective = F.col("receivedDate.value"), F.col("requestedEffectiveDate.value")
     groups = F.size(F.array_distinct(F.transform("dup_members", lambda d: d["keep_idx"])))
-    gaps = F.slice(F.array_compact(F.concat(F.array(*(F.col(n)["evidence"] for n in (*REQUIRED_SCALARS, *SOFT_SCALARS))), buildings)), 1, EVIDENCE_MOST)
+    cells = F.flatten(F.transform("locations", lambda x: F.array(*(x[n]["evidence"].cast(SPAN) for n in (*REQUIRED_LOCATION_FIELDS, *SOFT_LOCATION_FIELDS)))))
+    gaps = F.slice(F.array_compact(F.concat(F.array(*(F.col(n)["evidence"].cast(SPAN) for n in (*REQUIRED_SCALARS, *SOFT_SCALARS))), cells)), 1, EVIDENCE_MOST)
     both = F.array_distinct(F.concat(F.transform(members("keep_idx"), lambda x: x["source_span"]), F.transform(members("dup_idx"), lambda x: x["source_span"])))
     return F.array(
         result("GL-001", appetite(tiv, g.tivCeiling), F.concat(F.lit("insured value "), format_usd(tiv), F.lit(" against "), format_usd(F.lit(g.tivCeiling))), {"computedTiv": tiv, "ceiling": F.lit(g.tivCeiling)}, buildings),

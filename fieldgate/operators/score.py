@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import BANDS, LOCATION_FIELDS, SCALARS, TEXT_FIELDS
-from ..functions.scalars import half_up, normalize_address
+from ..functions.scalars import half_up, normalize_address, trim
 
 ITEM = "struct<key:string,expected_str:string,expected_num:bigint,actual_str:string,actual_num:bigint,correct:boolean,confidence:double,method:string>"
 
 
 def same_text(a: Column, b: Column) -> Column:
-    return F.lower(F.trim(a)).eqNullSafe(F.lower(F.trim(b)))
+    return F.lower(trim(a)).eqNullSafe(F.lower(trim(b)))
 
 
 def item(key: Column, text: bool, expected: Column, field: Column, matched: Column | None = None) -> Column:
@@ -39,14 +39,16 @@ def assign_rows(truth: Column, produced: Column) -> Column:
     otherwise that at the same position if it is unclaimed."""
     wanted = F.transform(truth, lambda t, i: F.struct(normalize_address(t["address"]).alias("n"), i.alias("i")))
     offered = F.transform(produced, lambda p, i: F.struct(normalize_address(p["address"]["value"]).alias("n"), i.alias("i")))
+    # the rows still free travel in the fold's state, so that they are normalised once and not for every truth row
+    state = "struct<taken:array<int>,free:array<struct<n:string,i:int>>>"
 
-    def step(taken: Column, t: Column) -> Column:
-        free = lambda o: ~F.array_contains(taken, o["i"])
-        same = F.get(F.filter(offered, lambda o: (o["n"] == t["n"]) & free(o)), F.lit(0))
-        place = F.get(F.filter(offered, lambda o: (o["i"] == t["i"]) & free(o)), F.lit(0))
-        return F.concat(taken, F.array(F.coalesce(same["i"], place["i"], F.lit(-1)).cast("int")))
+    def step(at: Column, t: Column) -> Column:
+        same = F.get(F.filter(at["free"], lambda o: o["n"] == t["n"]), F.lit(0))
+        place = F.get(F.filter(at["free"], lambda o: o["i"] == t["i"]), F.lit(0))
+        chosen = F.coalesce(same["i"], place["i"], F.lit(-1)).cast("int")
+        return F.struct(F.concat(at["taken"], F.array(chosen)).alias("taken"), F.filter(at["free"], lambda o: o["i"] != chosen).alias("free")).cast(state)
 
-    return F.aggregate(wanted, F.array().cast("array<int>"), step)
+    return F.aggregate(wanted, F.struct(F.array().cast("array<int>").alias("taken"), F.coalesce(offered, F.array()).alias("free")).cast(state), step, lambda at: at["taken"])
 
 
 def score(runs: DataFrame, truth: DataFrame) -> DataFrame:
@@ -63,7 +65,7 @@ def score(runs: DataFrame, truth: DataFrame) -> DataFrame:
     def of_row(x: Column, i: Column) -> Column:
         at = F.get("_taken", i)
         p = F.get("locations", F.when(at >= 0, at))
-        name = F.when(at >= 0, p["loc_id"]).otherwise(F.concat(F.lit("expected#"), i.cast("string")))
+        name = F.when(at >= 0, p["loc_id"]).otherwise(F.concat(F.lit("expected#"), (i + 1).cast("string")))
         return F.array(*(item(F.concat(name, F.lit(f".{n}")), n in TEXT_FIELDS, x[n], p[n], at >= 0) for n in LOCATION_FIELDS))
 
     located = F.flatten(F.transform("t_locations", of_row))

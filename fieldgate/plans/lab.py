@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
+from dataclasses import asdict
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import METERED_RATES, SIMULATED_RATES, Version, what_if
@@ -14,6 +16,7 @@ from ..operators.diff import compare_packets, gate, movements, slices, summary_d
 from ..operators.extract import extract
 from ..operators.model_reader import extract_from_model
 from ..operators.reconcile import resolve
+from ..operators.reviews import history, latest_by_packet
 from ..operators.rules import apply_rules
 from ..operators.score import calibration, run_totals, score, summarize
 
@@ -75,6 +78,38 @@ def public_suite(runs: DataFrame, totals: DataFrame) -> DataFrame:
     return runs.select("version_id", "packet_id", F.col("routing.decision").alias("decision"), F.col("routing.abstained").alias("abstained"), F.size("flags").alias("flag_count"), F.size("conflicts").alias("conflict_count"), F.col("computed_tiv").alias("computedTiv"), F.size("locations").alias("location_count")).join(totals, ["version_id", "packet_id"])
 
 
+def suite_list(runs: DataFrame, totals: DataFrame, reviews: DataFrame, order: str = "recordedAt") -> DataFrame:
+    """:func:`public_suite` with the latest review of each packet, null where there is none."""
+    last = latest_by_packet(reviews, order).select(F.col("versionId").alias("version_id"), F.col("packetId").alias("packet_id"), F.col("decision").alias("review_decision"), F.col("reviewer").alias("reviewer"))
+    return public_suite(runs, totals).join(last, ["version_id", "packet_id"], "left")
+
+
+def known_packet(rows: DataFrame, packet_id: str) -> DataFrame:
+    """The rows of a packet; ValueError if there are none."""
+    found = rows.where(F.col("packet_id") == packet_id)
+    if found.isEmpty():
+        raise ValueError(f"no packet {packet_id}")
+    return found
+
+
+def run_view(packet_id: str, runs: DataFrame, scores: DataFrame, truth: DataFrame, reviews: DataFrame, order: str = "recordedAt") -> dict[str, DataFrame]:
+    """run, score, truth, review (the latest of each version) and history of one packet. An unknown packet raises ValueError."""
+    own = reviews.where(F.col("packetId") == packet_id)
+    return {
+        "run": known_packet(runs, packet_id),
+        "score": scores.where(F.col("packet_id") == packet_id).orderBy("version_id", "ord"),
+        "truth": truth.where(F.col("packet_id") == packet_id),
+        "review": latest_by_packet(own, order),
+        "history": history(own, packet_id, order),
+    }
+
+
+def meta(spark: SparkSession, versions: list[Version]) -> DataFrame:
+    """A row per version: its id, engine, fingerprint, guidelines and profile as JSON."""
+    rows = [(v.id, v.profile.engine, v.fingerprint(), json.dumps(asdict(v.guidelines), sort_keys=True, default=str), json.dumps(asdict(v.profile), sort_keys=True, default=str)) for v in versions]
+    return spark.createDataFrame(rows, "version_id string, engine string, fingerprint string, guidelines string, profile string")
+
+
 def what_if_changes(runs: DataFrame, version: Version, **thresholds: float) -> DataFrame:
     """packet_id, both decisions and flags of packets that other thresholds move. ``runs`` of the version are read once (keep them with persist()
     if they are not a table): thresholds touch neither extraction nor reconciliation."""
@@ -114,8 +149,8 @@ def corpus_hash(documents: DataFrame, truth: DataFrame | None = None) -> DataFra
     return block.agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("corpus_hash"))
 
 
-def manifest(version: Version, runs: DataFrame, totals: DataFrame, documents: DataFrame, truth: DataFrame | None = None) -> DataFrame:
-    """A row per packet outcome of the run, under the version's fingerprint and the corpus hash."""
+def manifest(version: Version, runs: DataFrame, totals: DataFrame, documents: DataFrame, truth: DataFrame | None = None, created_at: str | None = None) -> DataFrame:
+    """A row per packet outcome of the run, under the version's fingerprint and the corpus hash; ``created_at`` is the caller's, so that equal runs have equal manifests."""
     outcome = runs.select("packet_id", F.col("routing.decision").alias("decision"), F.col("routing.abstained").alias("abstained")).join(totals.select("packet_id", "correct", "total"), "packet_id")
     g = version.guidelines
-    return outcome.join(F.broadcast(corpus_hash(documents, truth))).select(F.lit(version.id).alias("version_id"), F.lit(version.fingerprint()).alias("profile_hash"), "corpus_hash", F.lit(g.tivCeiling).alias("tiv_ceiling"), F.lit(g.lossRatioCeilingPct).alias("loss_ratio_ceiling_pct"), F.lit(g.maxMonthsAhead).alias("max_months_ahead"), "packet_id", "decision", "abstained", "correct", "total")
+    return outcome.join(F.broadcast(corpus_hash(documents, truth))).select(F.lit(version.id).alias("version_id"), F.lit(version.fingerprint()).alias("profile_hash"), "corpus_hash", F.lit(g.addressMatching).alias("address_matching"), F.lit(created_at).cast("string").alias("created_at"), F.lit(g.tivCeiling).alias("tiv_ceiling"), F.lit(g.lossRatioCeilingPct).alias("loss_ratio_ceiling_pct"), F.lit(g.maxMonthsAhead).alias("max_months_ahead"), "packet_id", "decision", "abstained", "correct", "total")

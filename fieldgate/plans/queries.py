@@ -57,10 +57,7 @@ def joined(c: Column) -> Column:
 
 
 def doc_line_index(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", X.lines(F.col("text")).alias("r"))
-    rows = rows.select("doc_id", F.posexplode("r").alias("i", "line"), F.aggregate(F.transform("r", F.length), F.array().cast("array<int>"), lambda a, n: F.concat(a, F.array(F.coalesce(F.element_at(F.when(F.size(a) > 0, a), -1), F.lit(0)) + n + 1))).alias("ends"))
-    start = F.when(F.col("i") == 0, 0).otherwise(F.get("ends", F.col("i") - 1))
-    return rows.select("doc_id", (F.col("i") + 1).cast("bigint").alias("line_no"), start.cast("bigint").alias("start"), (start + F.length("line")).cast("bigint").alias("end"), F.sha2("line", 256).alias("line_sha256"))
+    return X.line_index(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "line_no", "start", "end", F.sha2("line", 256).alias("line_sha256"))
 
 
 def span_lookup(spark, sf_dir):

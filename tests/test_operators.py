@@ -5,11 +5,13 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from fieldgate.config import LOCATION_FIELDS, Guidelines, Profile, Version, version
+from fieldgate.config import LOCATION_FIELDS, REQUIRED_LOCATION_FIELDS, REQUIRED_SCALARS, SCALARS, SOFT_LOCATION_FIELDS, SOFT_SCALARS, TEXT_FIELDS, Guidelines, Profile, Version, version
+from fieldgate.functions.text import line_index
+from fieldgate.operators.diff import injected
 from fieldgate.operators.model_reader import request_key
 from fieldgate.operators.reviews import BadReview, append_review, clear_reviews, history, latest_by_packet, load_reviews, review_queue, validate
-from fieldgate.operators.score import assign_rows
-from fieldgate.plans.lab import run
+from fieldgate.operators.score import assign_rows, score
+from fieldgate.plans.lab import meta, run, run_view, suite_list
 from fieldgate.sources.packets import read_cache, write_cache
 from fieldgate.streaming.reviews import latest_stream, stream_reviews
 
@@ -25,7 +27,8 @@ def test_duplicates_are_a_star_not_a_closure(spark):
     row = "LOC | L{} | {} | Salem, OR 97301 | Building: $1 | Contents: $1 | BI: $1"
     sov = "\n".join(row.format(i, a) for i, a in enumerate(["1420 Kestrel Avenue", "88 Other Street", "1420 Kestrel Ave", "1420 Kestrl Avenue"]))
     r = one(spark, sov)
-    assert [(d["keep_idx"], d["dup_idx"], d["basis"]) for d in r["dup_members"]] == [(0, 2, "exact-normalized"), (0, 3, "fuzzy")]
+    assert [(d["keep_idx"], d["dup_idx"], d["basis"]) for d in r["dup_members"]] == [(0, 2, "fuzzy"), (0, 3, "fuzzy")]  # the group's basis: its last member's
+    assert r["removed_notes"] == [f"Removed L{i} ({a}) as a repeat of L0 (1420 Kestrel Avenue), matched on fuzzy." for i, a in ((2, "1420 Kestrel Ave"), (3, "1420 Kestrl Avenue"))]
     assert r["computed_tiv"] == 6 and r["listed_tiv"] == 12
     assert [x["loc_id"] for x in r["locations"]] == ["L0", "L1"]
 
@@ -57,6 +60,56 @@ def test_row_matching(spark, truth, produced, taken):
     assert rows.select(assign_rows(F.col("t"), F.col("p"))).first()[0] == taken
 
 
+def test_score_keys_and_white_space(spark):
+    """Truth rows without a produced row are numbered from 1; any white space around a text is ignored; decoys are fixed in the order of keys."""
+    field = lambda v, kind: f"named_struct('value', cast({v} AS {kind}), 'confidence', 0.9D, 'method', 'm')"
+    kind = lambda n: "string" if n in TEXT_FIELDS else "bigint"
+    scalars = ", ".join(f"{field(chr(39) + 'Acme' + chr(39) if n == 'insuredName' else 'NULL', kind(n))} AS {n}" for n in SCALARS)
+    row = ", ".join(f"'{n}', {field('NULL', kind(n))}" for n in LOCATION_FIELDS)
+    runs = spark.sql(f"SELECT 'v' AS version_id, 'p' AS packet_id, {scalars}, filter(array(named_struct('loc_id', 'L1', {row})), x -> false) AS locations")
+    plain = ", ".join(f"'{n}', cast({chr(39) + 'x' + chr(39) if n in TEXT_FIELDS else 1} AS {kind(n)})" for n in LOCATION_FIELDS)
+    own = ", ".join(f"cast({chr(39) + chr(92) + 't Acme' + chr(92) + 'n' + chr(39) if n == 'insuredName' else 'NULL'} AS {kind(n)}) AS {n}" for n in SCALARS)
+    truth = spark.sql(f"SELECT 'p' AS packet_id, {own}, array(named_struct({plain}), named_struct({plain})) AS locations")
+    scores = score(runs, truth).cache()
+    keys = [r["key"] for r in scores.orderBy("ord").collect()]
+    assert [k for k in keys if k.startswith("expected#")] == [f"expected#{i}.{n}" for i in (1, 2) for n in LOCATION_FIELDS]
+    assert scores.where("key = 'insuredName'").first()["correct"]
+    wrong = sorted(r["key"] for r in scores.where("NOT correct").collect())
+    assert sorted(r["key"] for r in injected(scores, fixed=5).where("mutated = 'fixed'").collect()) == wrong[:5]
+
+
+def test_completeness_evidence(spark):
+    """Scalars that were read, then each row's required and supporting cells in order, twelve at most."""
+    sov = "\n".join(f"LOC | L{i} | {i} Elm Ave | Salem, OR 97301 | Building: $1 | Contents: $2 | BI: $3 | Construction: Frame | Year: 1990" for i in (1, 2, 3))
+    r = one(spark, sov)
+    check = next(c for c in r["checks"] if c["check_id"] == "GL-002")
+    cells = [x[n]["evidence"] for x in r["locations"] for n in (*REQUIRED_LOCATION_FIELDS, *SOFT_LOCATION_FIELDS) if x[n]["evidence"]]
+    scalars = [r[n]["evidence"] for n in (*REQUIRED_SCALARS, *SOFT_SCALARS) if r[n]["evidence"]]
+    assert check["evidence"] == (scalars + cells)[:12] and len(cells) >= 12
+
+
+def test_views(spark):
+    runs = run(spark.createDataFrame([(k, "x", None, None, None, None) for k in "pq"], SCHEMA), version("v1-regex")).cache()
+    id = version("v1-regex").id
+    totals = spark.createDataFrame([(id, "p", 1, 2, 0.5), (id, "q", 1, 2, 0.5)], "version_id string, packet_id string, correct bigint, total bigint, accuracy double")
+    log = spark.createDataFrame([("p", id, "approve", "a", "", 1), ("p", id, "decline", "b", "", 2), ("z", id, "approve", "a", "", 3)], "packetId string, versionId string, decision string, reviewer string, note string, seq int")
+    got = {r["packet_id"]: r["review_decision"] for r in suite_list(runs, totals, log, "seq").collect()}
+    assert got == {"p": "decline", "q": None}
+    scores = spark.createDataFrame([(id, "p", 1, "b"), (id, "p", 0, "a"), (id, "q", 0, "a")], "version_id string, packet_id string, ord int, key string")
+    view = run_view("p", runs, scores, totals, log, "seq")
+    assert [r["key"] for r in view["score"].collect()] == ["a", "b"] and view["review"].first()["decision"] == "decline" and view["history"].count() == 2 and view["run"].count() == view["truth"].count() == 1
+    with pytest.raises(ValueError, match="no packet"):
+        run_view("nowhere", runs, scores, totals, log, "seq")
+    rows = meta(spark, [version("v1-regex"), version("v2-heuristic")]).collect()
+    assert [r["version_id"] for r in rows] == ["v1-regex", "v2-heuristic"] and all("tivCeiling" in json.loads(r["guidelines"]) for r in rows)
+
+
+def test_line_index(spark):
+    docs = spark.createDataFrame([(1, "a\r\nbb\n\nc"), (1, ""), (2, None), (3, "x\n")], "doc_id long, text string")
+    got = sorted(tuple(r) for r in line_index(docs).collect())
+    assert got == [(1, 1, 0, 0, ""), (1, 1, 0, 1, "a"), (1, 2, 2, 4, "bb"), (1, 3, 5, 5, ""), (1, 4, 6, 7, "c"), (3, 1, 0, 1, "x"), (3, 2, 2, 2, "")]
+
+
 def test_reviews(spark, tmp_path):
     log = str(tmp_path / "log")
     assert load_reviews(spark, log).count() == 0
