@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forest, grouped
+from .common import forest, grouped, releasing
 
 #: Rows of a block: a task holds two blocks of a bucket at most.
 BLOCK = 512
@@ -41,7 +41,7 @@ def bucket_links(rows: DataFrame, keys: list[str], verify: Callable[[pa.Table, n
             keep = a != b
             yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
 
-    return met.mapInArrow(run, "a long, b long").distinct()
+    return met.mapInArrow(lambda b: releasing(run(b)), "a long, b long").distinct()
 
 
 #: Groups of up to this many rows are searched from row to row, which seldom needs more pairs than rows; larger ones by their matrix.

@@ -12,12 +12,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices, utf8
+from .common import releasing, slices, utf8
 
 #: The pattern that the public rank files are used with: a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Text bytes whose distinct pre-tokens one replay takes together.
-REPLAY_BYTES = 24 << 20
+REPLAY_BYTES = 8 << 20
 NONE = np.iinfo(np.int32).max
 
 
@@ -222,7 +222,7 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str = PATTERN, ids: b
                 number = _Index()
                 found = [np.fromiter(map(number.__getitem__, find(t.decode("utf-8", "replace"))), dtype=np.int32) for t in texts]
                 flat, offsets = merges.replay([w.encode() for w in number])
-                del number
+                number = None
                 sizes = np.diff(offsets)
                 out: list[list] = [[], [], [], [], []]
                 for text, words in zip(texts, found, strict=True):
@@ -237,10 +237,11 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str = PATTERN, ids: b
                 columns = [batch.column("doc_id"), *(pa.array(v, k) for v, k in zip(out, kinds, strict=True))]
                 names = ["doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256", "exact"]
                 keep = [i for i, n in enumerate(names) if ids or n != "ids"]
+                del found, flat, offsets, sizes, out
                 yield pa.RecordBatch.from_arrays([columns[i] for i in keep], [names[i] for i in keep])
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
-    return rows.mapInArrow(run, fields)
+    return rows.mapInArrow(lambda b: releasing(run(b)), fields)
 
 
 def decode_ids(rows: DataFrame, ranks: str) -> DataFrame:
