@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import releasing, slices, utf8
+from .common import few_rows, releasing, slices, utf8
 
 #: The pattern that the public rank files are used with: a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -240,7 +240,7 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str = PATTERN, ids: b
                 del found, flat, offsets, sizes, out
                 yield pa.RecordBatch.from_arrays([columns[i] for i in keep], [names[i] for i in keep])
 
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
+    rows = few_rows(docs).select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
     return rows.mapInArrow(lambda b: releasing(run(b)), fields)
 
 

@@ -52,6 +52,19 @@ def discard(*frames: DataFrame | None) -> None:
             p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Rows of an Arrow batch: what a task holds of texts at once, on the JVM's side and on Python's.
+BATCH_ROWS = 1_000
+
+
+def few_rows(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches have ``BATCH_ROWS`` rows at most, or fewer if it is set so."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(name))
+    if now <= 0 or now > BATCH_ROWS:
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """The texts of an Arrow column as UTF-8, null as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

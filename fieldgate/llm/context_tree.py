@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, give_back, holding, materialize, releasing, slices
+from .common import discard, few_rows, give_back, holding, materialize, releasing, slices
 from .grams import END, HOT_GRAMS, GramCounts, Logs, broadcast_hot, by_bucket, byte_grams, cold_sums, in_parts, mask
 from .words import Words, coded, hot_from, lists, per_text, sums, word_counts
 
@@ -231,7 +231,7 @@ def lm_scores(docs: DataFrame, remainder: int = 2, modulus: int = 7, depth: int
     """
     context = docs.sparkSession.sparkContext
     held = F.coalesce(F.pmod(F.crc32(docs["doc_id"].cast("string").cast("binary")), F.lit(modulus)) == remainder, F.lit(False))
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), held.alias("held_out"))
+    rows = few_rows(docs).select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), held.alias("held_out"))
     size = {r["held_out"]: r["count"] for r in rows.groupBy("held_out").count().collect()}
     buckets = materialize(gram_buckets(rows, depth, max(256, sum(size.values()) // DOCS_A_BUCKET)), "buckets")
     known = materialize(gram_logs(buckets, depth), "known")

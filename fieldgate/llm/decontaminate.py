@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import releasing, slices, text_hash, utf8
+from .common import few_rows, releasing, slices, text_hash, utf8
 from .simhash import ball, segments_of
 
 SHINGLE = 5
@@ -170,7 +170,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, threshold: float =
     The items are broadcast in blocks of about ``block_items`` or ``BLOCK_BYTES``, a pass over the texts each. Null and empty texts hold nothing, null and empty
     items are in nothing. Repeated rows give repeated results, null ids stay null, other columns are ignored, an empty table gives an empty table.
     """
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), text_hash(docs).alias("t"))
+    rows = few_rows(docs).select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), text_hash(docs).alias("t"))
     out = None
     for block in item_blocks(benchmark, block_items):
         one = _search(rows, block, threshold, shingle, radius, parts)
@@ -199,7 +199,7 @@ class _Finder:
 
     def find(self, column: pa.Array) -> list[tuple]:
         """(row, item_id, similarity, first_word, n_words, distance) of every item found."""
-        if len(self.memo) > 500_000:
+        if len(self.memo) > 200_000:
             self.memo.clear()
         texts = [t.lower().split() for t in utf8(column)]
         ends = np.cumsum([len(t) for t in texts])
@@ -247,5 +247,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
                     keep[[f[0] for f in finder.find(batch.column("text"))]] = False
                     yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(lambda b, run=run: releasing(run(b)), docs.schema)
+        docs = few_rows(docs).mapInArrow(lambda b, run=run: releasing(run(b)), docs.schema)
     return docs

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import bucket_links, spanning
-from .common import ROW, components, discard, holding, materialize, releasing, slices, small, text_hash, utf8, with_row
+from .common import ROW, components, discard, few_rows, holding, materialize, releasing, slices, small, text_hash, utf8, with_row
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -142,7 +142,7 @@ def band_pairs(docs: DataFrame, bands: int, rows: int, shingle: int, buckets: in
                     yield from flush()
         yield from flush()
 
-    return docs.select("text").mapInArrow(lambda b: releasing(run(b)), "bucket long, pairs binary")
+    return few_rows(docs).select("text").mapInArrow(lambda b: releasing(run(b)), "bucket long, pairs binary")
 
 
 def shared_bands(packed: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import bucket_links, spanning
-from .common import ROW, components, discard, holding, materialize, only_rows, releasing, slices, text_hash, utf8, with_row
+from .common import ROW, components, discard, few_rows, holding, materialize, only_rows, releasing, slices, text_hash, utf8, with_row
 
 SEED = 42
 #: For each byte a word of eight byte counters that holds its bits: 255 of them add up without overflow.
@@ -49,7 +49,7 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
                 prints = [fingerprint_of(np.array([digest(s, SEED) for s in shingles(t.lower().split(), size)], dtype=np.uint64)) for t in utf8(batch.column("text"))]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), pa.array(np.array(prints, dtype=np.uint64).view(np.int64))], ["doc_id", "t", "fp"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"], text_hash(docs).alias("t")).mapInArrow(lambda b: releasing(run(b)), "doc_id long, t long, fp long")
+    return few_rows(docs).select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"], text_hash(docs).alias("t")).mapInArrow(lambda b: releasing(run(b)), "doc_id long, t long, fp long")
 
 
 def segments_of(parts: int) -> list[tuple[int, int]]:

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import holding, materialize, releasing, slices, utf8
+from .common import few_rows, holding, materialize, releasing, slices, utf8
 from .words import Words, coded, hot_from, lists, per_text, sums, word_counts
 
 #: Pre-tokens whose piece counts are broadcast, the most frequent ones; all others are joined.
@@ -76,7 +76,7 @@ def token_counts(docs: DataFrame, vocabulary: str, max_tokens: int = 2048, hot_w
     """
     check_vocabulary(vocabulary)
     context = docs.sparkSession.sparkContext
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
+    rows = few_rows(docs).select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
     known = materialize(word_pieces(word_counts(rows), vocabulary), "pieces")
     least = hot_from(known, hot_words)
     frequent = known.where(F.col("n") >= least).toArrow()
