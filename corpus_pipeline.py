@@ -12,14 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from fieldgate.llm.byte_bpe import encode_documents
 from fieldgate.llm.common import discard, holding, materialize
 from fieldgate.llm.decontaminate import decontaminate
-from fieldgate.llm.kneser_ney import keep_good
+from fieldgate.llm.kneser_ney import HELD_OUT, keep_good
 from fieldgate.llm.line_dedup import dedup_lines
 from fieldgate.llm.simhash import keep_one
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the Kneser-Ney classifier (operator 8), fitted on the trusted ones among these, doesn't reject."""
-    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), turns=HELD_OUT)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

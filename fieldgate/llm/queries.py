@@ -12,7 +12,7 @@ from .byte_bpe import encode_documents
 from .chat import format_conversations, read_back
 from .context_tree import lm_scores
 from .decontaminate import find_contamination
-from .kneser_ney import classify
+from .kneser_ney import HELD_OUT, classify
 from .licenses import scan_licenses, scan_sql
 from .line_dedup import line_components
 from .quality_rules import quality_rules
@@ -54,7 +54,7 @@ def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("t")
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), turns=HELD_OUT).drop("t")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -193,6 +193,52 @@ def test_classifier(spark, hot_grams):
     assert keep_good(docs.limit(0), labels, order=3).collect() == []
 
 
+def test_classifier_fits_on_every_trusted_text(spark):
+    """25,000 trusted texts: the model is that of all of them."""
+    docs = spark.range(25_000).selectExpr("id AS doc_id", "concat(id * 7919 % 25000, ' ', id % 97) AS text", "'en' AS lang")
+    labels = spark.range(25_000).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    texts = {d["doc_id"]: d["text"].encode() for d in docs.collect()}
+    p = kneser_ney(texts.values(), 3)
+    got = classify(docs, labels, order=3)
+    for r in got.where("doc_id % 50 = 0").collect():
+        own = texts[r["doc_id"]]
+        log_p = sum(math.log(p((b"\n\n" + own + b"\n")[i : i + 3], 3)) for i in range(len(own) + 1))
+        assert r["perplexity"] == pytest.approx(math.exp(-log_p / (len(own) + 1)), rel=1e-5)
+    discard(got)
+
+
+@pytest.mark.parametrize("most_ids", [1_000_000, 25])
+def test_classifier_holds_out_every_part(spark, most_ids):
+    """Thresholds come from all trusted texts, each scored by a model of the parts that it isn't in; ids in one block and in several."""
+    rng = random.Random(3)
+    data = [(i, X.prose(rng, rng.randint(5, 60)), ["en", "fr"][i % 2]) for i in range(90)] + [(100, X.prose(rng, 20), "en"), (None, X.prose(rng, 20), "fr"), (7, X.prose(rng, 9), "fr")]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(90)], "doc_id bigint, quality int, toxic int")
+    part = {r["doc_id"]: r["part"] for r in labels.selectExpr("doc_id", "pmod(xxhash64('held out', doc_id), 3) AS part").collect()}
+    learned = [(part[i], lang, t.encode()) for i, t, lang in data if i in part]
+    log_perplexity = lambda p, own: -sum(math.log(p((b"\n\n" + own + b"\n")[i : i + 3], 3)) for i in range(len(own) + 1)) / (len(own) + 1)
+    blind = [kneser_ney([t for k, _, t in learned if k != i], 3) for i in range(3)]
+    whole = kneser_ney([t for *_, t in learned], 3)
+    spread = lambda own: 1 + math.sqrt(500 / (len(own) + 1))
+    unseen = [(lang, log_perplexity(blind[k], t), t) for k, lang, t in learned]
+    level = {l: rank([h for k, h, _ in unseen if k == l], 0.5) for l in ("en", "fr")}
+    z = [(l, (h - level[l]) / spread(t)) for l, h, t in unseen]
+    # without bad texts the highest quantile rejects the least
+    cut = {l: rank([v for k, v in z if l in (None, k)], 0.999) for l in (None, "en", "fr")}
+    n = {l: sum(k == l for k, _ in z) for l in ("en", "fr")}
+    got = classify(docs, labels, order=3, turns=3, prior_texts=20, most_ids=most_ids)
+    rows = got.collect()
+    texts = {(i, lang): t.encode() for i, t, lang in data if i != 7}
+    for r in rows:
+        if r["doc_id"] == 7:
+            continue
+        l, own = r["lang"], texts[r["doc_id"], r["lang"]]
+        assert r["perplexity"] == pytest.approx(math.exp(log_perplexity(whole, own)), rel=1e-4)
+        assert r["threshold"] == pytest.approx(math.exp(level[l] + (cut[l] * n[l] + cut[None] * 20) / (n[l] + 20) * spread(own)), rel=1e-4)
+    assert len(rows) == len(data)
+    discard(got)
+
+
 def test_classifier_rejects_repeats_and_navigation(spark):
     """Words repeated after one another and menus, labelled and not, go; unseen good texts stay, short ones too."""
     rng = random.Random(4)
