@@ -83,7 +83,11 @@ def summarize(runs: DataFrame, totals: DataFrame) -> DataFrame:
 
     ``runs`` may have cost_usd and simulated (see :func:`simulated_cost`).
     """
-    r = runs.select("version_id", "packet_id", "routing", *(c for c in ("cost_usd", "simulated", "latency_ms") if c in runs.columns)).join(totals, ["version_id", "packet_id"])
+    return summary_of(runs.select("version_id", "packet_id", "routing", *(c for c in ("cost_usd", "simulated", "latency_ms") if c in runs.columns)).join(totals, ["version_id", "packet_id"]))
+
+
+def summary_of(r: DataFrame) -> DataFrame:
+    """:func:`summarize` of rows that have a run's routing, correct and total."""
     decided = lambda d: F.count_if(F.col("routing.decision") == d).alias(f"n_{d}")
     more = []
     if "cost_usd" in r.columns:
@@ -102,3 +106,10 @@ def calibration(scores: DataFrame) -> DataFrame:
     every = scores.select("version_id").distinct().select("version_id", F.inline(bands))
     out = every.join(counts, ["version_id", "band"], "left").withColumns({"n": F.coalesce("n", F.lit(0)), "correct": F.coalesce("correct", F.lit(0))})
     return out.withColumn("accuracy", F.try_divide("correct", "n"))
+
+
+def calibrated(counts: DataFrame) -> DataFrame:
+    """:func:`calibration` of rows with version_id and bands, an array of struct<n,correct> in the order of ``BANDS``."""
+    sums = counts.groupBy("version_id").agg(*(F.sum(F.get("bands", F.lit(i))[c]).alias(f"{c}{i}") for i in range(len(BANDS)) for c in ("n", "correct")))
+    bands = F.array(*(F.struct(F.lit(i).alias("band"), F.lit(lo).alias("low"), F.lit(hi).alias("high"), F.col(f"n{i}").alias("n"), F.col(f"correct{i}").alias("correct")) for i, (lo, hi) in enumerate(BANDS)))
+    return sums.select("version_id", F.inline(bands)).withColumn("accuracy", F.try_divide("correct", "n"))
